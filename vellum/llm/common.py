@@ -141,20 +141,25 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 PLACES = mix(np.arange(1, 257, dtype=U64)) | U64(1)
 
 
+def windows(words: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first word of each run of ``n`` words inside a row."""
+    m = len(words)
+    if m < n:
+        return np.zeros(0, U64), np.zeros(0, np.int64)
+    out = np.zeros(m - n + 1, U64)
+    for k in range(n):
+        out += words[k : m - n + 1 + k] * PLACES[k]
+    at = np.flatnonzero(row[: m - n + 1] == row[n - 1 :])
+    return mix(out[at]), at
+
+
 def shingles(words: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of each run of ``n`` words. A row of fewer words, but some, has one shingle of all of them."""
-    m = len(words)
-    out = np.zeros(0, U64)
-    at = np.zeros(0, np.int64)
-    if m >= n:
-        out = np.zeros(m - n + 1, U64)
-        for k in range(n):
-            out += words[k : m - n + 1 + k] * PLACES[k]
-        whole = row[: m - n + 1] == row[n - 1 :]
-        out, at = mix(out[whole]), row[: m - n + 1][whole]
-    if m:
+    out, at = windows(words, row, n)
+    at = row[at]
+    if len(words):
         first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        count = np.diff(np.r_[first, m])
+        count = np.diff(np.r_[first, len(words)])
         few = np.flatnonzero(count < n)
         if len(few):
             extra = np.array([mix((words[first[i] : first[i] + count[i]] * PLACES[: count[i]]).sum(keepdims=True) + U64(count[i]))[0] for i in few], U64)

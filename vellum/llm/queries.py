@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import language, packing, quality, toxicity
+from vellum.llm import decontamination, language, neardup, packing, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_ngram_jaccard_join": neardup.op2_ngram_jaccard_join,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_decontamination": decontamination.op8_decontamination,
         "op9_language": language.op9_language,
         "op10_quality": quality.op10_quality,
     }
