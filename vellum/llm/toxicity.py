@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import bounds, chunks, labelled_sample, sigmoid, span_hash, table, word_spans
+from vellum.llm.common import bounds, chunks, labelled_sample, shared_checkpoint, sigmoid, span_hash, table, word_spans
 
-SAMPLE = 8000
+SAMPLE = 4000
 BITS = 18
 STEMS = (5, 6, 7)  # bytes at the beginning of a word that are hashed besides the word
 RARE = 0.003
@@ -48,53 +48,64 @@ def sentence_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ..
     return pair >> BITS, pair & ((1 << BITS) - 1), row[first], start[first], end[last]
 
 
-def bags(docs: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
-    """For training: (sentence, bucket) pairs of each document with a y, and the ys. ``docs`` is a bounded sample."""
+def per_document(run_on: DataFrame, schema: str, fold) -> DataFrame:
+    """``fold``(sentence, bucket) of each document, which gives the value of the column that follows doc_id and y."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, raw, offsets in chunks(batch.column("text"), lower=True):
                 sentence, bucket, row, *_ = sentence_words(raw, offsets)
                 at = bounds(row[sentence] if len(sentence) else sentence, hi - lo)
-                blobs = [((sentence[a:b] - sentence[a]) << BITS | bucket[a:b]).astype("<i8").tobytes() if b > a else b"" for a, b in zip(at[:-1], at[1:])]
-                yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), batch.column("y").slice(lo, hi - lo).cast(pa.int32()), pa.array(blobs, pa.binary())], names=["doc_id", "y", "bag"])
+                blobs = [fold(sentence[a:b] - sentence[a] if b > a else sentence[a:b], bucket[a:b]) for a, b in zip(at[:-1], at[1:])]
+                yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), batch.column("y").slice(lo, hi - lo).cast(pa.int32()), pa.array(blobs, pa.list_(pa.int32()) if "array" in schema else pa.binary())], names=["doc_id", "y", "bag"])
 
-    found = docs.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, bag binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-    return [np.frombuffer(x, "<i8") for x in found.column("bag").to_pylist()], found.column("y").to_numpy()
+    return run_on.mapInArrow(run, schema)
 
 
-def doc_pairs(sentence: np.ndarray, size: list[int]) -> np.ndarray:
-    """The document of each sentence number, documents having ``size`` sentences each."""
-    return np.searchsorted(np.cumsum(size), sentence, "right")
+def bags(docs: DataFrame) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """For training: the buckets to learn, (sentence, place of the bucket) pairs of each document, and the ys.
 
+    ``docs`` (doc_id, text, y) is a bounded sample. Buckets of fewer documents than ``RARE`` of it can only be learned
+    by heart and are left out before anything reaches the driver.
+    """
+    docs = shared_checkpoint(docs.select("doc_id", "text", "y").dropDuplicates(["doc_id"]))
+    least = max(3, RARE * docs.count())
+    used = per_document(docs, "doc_id long, y int, bag array<int>", lambda sentence, bucket: np.unique(bucket).astype(np.int32)).select(F.explode("bag").alias("bucket"))
+    used = used.groupBy("bucket").count().filter(F.col("count") >= least).select("bucket").toArrow().column("bucket").to_numpy()  # 1 / RARE times the buckets of a document
+    used = np.sort(used).astype(np.int64)
 
-def train(found: list[np.ndarray], y: np.ndarray, steps: int = 300, rate: float = 0.1, lasso: float = 1e-4) -> tuple[np.ndarray, float, float]:
-    """Weights of the buckets, bias of a sentence, and the share of label 1."""
+    def fold(sentence: np.ndarray, bucket: np.ndarray) -> bytes:
+        place = np.minimum(np.searchsorted(used, bucket), max(len(used) - 1, 0))
+        known = used[place] == bucket if len(used) else np.zeros(len(bucket), bool)
+        last = sentence[-1:]  # so that the number of sentences stays known
+        return np.r_[last + 1, sentence[known]].astype("<i4").tobytes() + place[known].astype("<i4").tobytes() if len(sentence) else b""
+
+    found = per_document(docs, "doc_id long, y int, bag binary", fold).toArrow().sort_by("doc_id")
+    return used, [np.frombuffer(x, "<i4") for x in found.column("bag").to_pylist()], found.column("y").to_numpy()
+
+
+def train(used: np.ndarray, found: list[np.ndarray], y: np.ndarray, steps: int = 300, rate: float = 0.1, lasso: float = 1e-4) -> tuple[np.ndarray, float, float]:
+    """Weights of the buckets, bias of a sentence, and the share of label 1. A document in ``found`` is its number of
+    sentences, the sentences of its pairs, the places of their buckets."""
     weights, bias = np.zeros(1 << BITS, np.float64), -4.0
     base = float(y.mean()) if len(y) else 0.0
     keep = [i for i, x in enumerate(found) if len(x)]
     if not keep or base in (0.0, 1.0):
         return weights, bias, base
     y = y[keep].astype(np.float64)
-    size = [int(found[i][-1] >> BITS) + 1 for i in keep]
-    shift = np.cumsum([0, *size[:-1]])
-    pair = np.concatenate([found[i] + (s << BITS) for i, s in zip(keep, shift)])
-    sentence, bucket = pair >> BITS, pair & ((1 << BITS) - 1)
-    used, seen = np.unique(np.unique((doc_pairs(sentence, size) << BITS) | bucket) & ((1 << BITS) - 1), return_counts=True)
-    used = used[seen >= max(3, RARE * len(keep))]  # words of few documents can only be learned by heart
-    column = np.minimum(np.searchsorted(used, bucket), max(len(used) - 1, 0))
-    learned = used[column] == bucket if len(used) else np.zeros(len(bucket), bool)
-    sentence, column = sentence[learned], column[learned]
+    size = np.array([found[i][0] for i in keep], np.int64)
+    shift = np.cumsum(size) - size
+    sentence = np.concatenate([found[i][1 : len(found[i]) // 2 + 1] + s for i, s in zip(keep, shift)])
+    column = np.concatenate([found[i][len(found[i]) // 2 + 1 :] for i in keep])
     doc_of = np.repeat(np.arange(len(keep)), size)
     balance = np.where(y == 1, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3)) / len(y)
     w, m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     w[-1] = bias
     for t in range(1, steps + 1):
-        z = np.bincount(sentence, w[column], sum(size)) + w[-1]
-        p = sigmoid(z)
+        z = np.bincount(sentence, w[column], len(doc_of)) + w[-1]
         none = np.add.reduceat(-np.logaddexp(0, z), shift)  # log of the probability that no sentence is toxic
         some = np.maximum(1 - np.exp(none), 1e-9)
-        slope = p * np.where(y == 1, -(np.exp(none) / some), 1.0)[doc_of] * balance[doc_of]
+        slope = sigmoid(z) * np.where(y == 1, -(np.exp(none) / some), 1.0)[doc_of] * balance[doc_of]
         g = np.r_[np.bincount(column, slope[sentence], len(used)), slope.sum()]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = rate / (np.sqrt(v / (1 - 0.99**t)) + 1e-5)
