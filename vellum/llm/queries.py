@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import decontamination, language, neardup, packing, quality, toxicity
+from vellum.llm import decontamination, language, neardup, packing, private, quality, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_scan": secrets.op1_secret_scan,
         "op2_ngram_jaccard_join": neardup.op2_ngram_jaccard_join,
+        "op4_private_data": private.op4_private_data,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_decontamination": decontamination.op8_decontamination,
