@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import decontamination, language, neardup, packing, private, quality, secrets, toxicity
+from vellum.llm import decontamination, language, neardup, packing, private, quality, scoring, secrets, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": secrets.op1_secret_scan,
         "op2_ngram_jaccard_join": neardup.op2_ngram_jaccard_join,
+        "op3_lm_scoring": scoring.op3_lm_scoring,
         "op4_private_data": private.op4_private_data,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
+        "op6_exact_topk": topk.op6_exact_topk,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_language": language.op9_language,
