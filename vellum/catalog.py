@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.plans import vectors
+from vellum.plans import inventory, vectors
 
-MODULES = (vectors,)
+MODULES = (vectors, inventory)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
