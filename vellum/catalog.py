@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.plans import inventory, vectors
+from vellum.plans import cleaning, inventory, vectors
 
-MODULES = (vectors, inventory)
+MODULES = (vectors, inventory, cleaning)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -142,37 +142,83 @@ def hits_log(line: Column, pattern: str, rule: str, unless: str | None = None) -
 NO_CHANGES = "array<struct<kind:string,rule:string,original:string,replacement:string,page:int,times:int>>"
 
 
-def with_change(df: DataFrame, line: Column, log: Column) -> DataFrame:
-    """One step: log is made of the line as it is before the step."""
-    return df.withColumn("changes", F.concat("changes", F.coalesce(log, F.array().cast(NO_CHANGES)))).withColumn("line", line)
+def no_changes() -> Column:
+    return F.array().cast(NO_CHANGES)
 
 
-def redact_lines(lines: DataFrame) -> DataFrame:
-    """Personal data: lists of people, names with an id, labels, e-mails, labelled phones, phones, in this order. Whole
-    lines that are redacted meet no later rule. Adds the array changes."""
-    df = team_lines(lines).withColumn("changes", F.array().cast(NO_CHANGES))
-    line = F.col("line")
-    df = df.withColumn("_whole", F.when(F.col("in_team"), "lista de equipo").when(line.rlike(NAME_WITH_ID), "nombre con matrícula"))
-    whole = F.array(change("dato_personal", F.col("_whole"), T.strip_ws(line), MARK))
-    df = with_change(df, F.when(F.col("_whole").isNotNull(), F.lit(MARK)).otherwise(line), F.when(F.col("_whole").isNotNull(), whole))
-    open_ = F.col("_whole").isNull() & ~line.rlike(TEAM)
-    for pattern, rule, unless in ((LABEL, "etiqueta personal", None), (EMAIL, "correo", None), (PHONE_LABEL, "teléfono con etiqueta", None), (PHONE, "teléfono", YEARS)):
-        new = marked_phones(line) if unless else all_marked(line, pattern)
-        df = with_change(df, F.when(open_, new).otherwise(line), F.when(open_, hits_log(line, pattern, rule, unless)))
-    return df.drop("_whole", "in_team")
+def run_steps(lines: DataFrame, steps: list) -> DataFrame:
+    """Each step maps a line to (new line, log of the line as it was). Steps see the line by a lambda variable, so the
+    expression grows with the number of steps, not with its power. A null line stays null."""
+    state = F.array(F.struct(F.col("line").alias("line"), F.col("changes").alias("changes")))
 
+    def stepped(state: Column, step) -> Column:
+        def one(s: Column) -> Column:
+            new, log = step(s["line"])
+            return F.struct(new.alias("line"), F.concat(s["changes"], F.coalesce(log, no_changes())).alias("changes"))
 
-def repair_units(lines: DataFrame) -> DataFrame:
+        return F.transform(state, one)
+
+    for step in steps:
+        state = stepped(state, step)
+    return lines.withColumn("_state", state[0]).withColumns({"line": F.col("_state.line"), "changes": F.col("_state.changes")}).drop("_state")
+
+
+def redact_steps() -> list:
+    """Personal data: whole lines (lists of people, names with an id), then labels, e-mails, labelled phones, phones.
+    Whole lines that are redacted, and the head of a list, meet no later rule."""
+    whole, open_ = F.col("whole_rule").isNotNull(), F.col("whole_rule").isNull() & ~F.col("team_head")
+
+    def whole_line(line: Column):
+        return F.when(whole, F.lit(MARK)).otherwise(line), F.when(whole, F.array(change("dato_personal", F.col("whole_rule"), T.strip_ws(line), MARK)))
+
+    def rule(pattern: str, name: str, unless: str | None = None):
+        new = lambda line: marked_phones(line) if unless else all_marked(line, pattern)
+        hit = lambda line: open_ & line.rlike(pattern)
+        return lambda line: (F.when(hit(line), new(line)).otherwise(line), F.when(hit(line), hits_log(line, pattern, name, unless)))
+
+    return [whole_line, rule(LABEL, "etiqueta personal"), rule(EMAIL, "correo"), rule(PHONE_LABEL, "teléfono con etiqueta"), rule(PHONE, "teléfono", YEARS)]
+
+
+def unit_steps() -> list:
     """Micrograms, then misread compound units; what is still unknown is only reported."""
-    line = F.col("line")
     as_changes = lambda log: F.transform(log, lambda m: change("unidad_corregida", m["rule"], m["original"], m["replacement"]))
-    always = F.lit(True)
-    ocr = F.col("with_ocr") & U.has_dosing_context(line)
-    for pattern, rule, when in ((U.UG, "ug → µg", always), (U.GREEK, "μ griega → µ (mismo símbolo)", always), (U.OCR_MICRO, "µ mal leído por el OCR", ocr)):
-        lines = with_change(lines, F.when(when, F.regexp_replace(line, pattern, "$1µg")).otherwise(line), F.when(when, as_changes(U.micro_log(line, pattern, rule))))
-    lines = with_change(lines, U.repair_misread(line), as_changes(U.misread_log(line)))
-    report = F.transform(U.unknown_units(line), lambda m: change("unidad_sospechosa", "no está en el catálogo", m, ""))
-    return with_change(lines, line, report)
+
+    def micro(pattern: str, name: str, ocr: bool = False):
+        def step(line: Column):
+            when = line.rlike(pattern)
+            when = when & F.col("with_ocr") & U.has_dosing_context(line) if ocr else when
+            return F.when(when, F.regexp_replace(line, pattern, "$1µg")).otherwise(line), F.when(when, as_changes(U.micro_log(line, pattern, name)))
+
+        return step
+
+    def misread(line: Column):
+        when = line.rlike(U.COMPOUND)
+        return F.when(when, U.repair_misread(line)).otherwise(line), F.when(when, as_changes(U.misread_log(line)))
+
+    def unknown(line: Column):
+        return line, F.when(line.rlike(U.COMPOUND), F.transform(U.unknown_units(line), lambda m: change("unidad_sospechosa", "no está en el catálogo", m, "")))
+
+    return [micro(U.UG, "ug → µg"), micro(U.GREEK, "μ griega → µ (mismo símbolo)"), micro(U.OCR_MICRO, "µ mal leído por el OCR", True), misread, unknown]
+
+
+def page_number_step(line: Column):
+    gone = is_page_number(line)
+    return F.when(~gone, line), F.when(gone, F.array(change("numero_pagina", "línea con solo un número", T.strip_ws(line), "")))
+
+
+def prepared(lines: DataFrame) -> DataFrame:
+    """What the redaction steps need to know of a line besides its text."""
+    line = F.col("line")
+    rule = F.when(F.col("in_team"), "lista de equipo").when(line.rlike(NAME_WITH_ID) & ~line.rlike(TEAM), "nombre con matrícula")
+    return team_lines(lines).withColumns({"changes": no_changes(), "whole_rule": rule, "team_head": F.coalesce(line.rlike(TEAM), F.lit(False))})
+
+
+def redact_lines(lines: DataFrame) -> DataFrame:
+    return run_steps(prepared(lines), redact_steps()).drop("whole_rule", "team_head", "in_team")
+
+
+def repair_units(lines: DataFrame) -> DataFrame:
+    return run_steps(lines.withColumn("changes", no_changes()), unit_steps())
 
 
 def is_page_number(line: Column) -> Column:
@@ -184,10 +230,7 @@ def clean_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = repeated_keys(lines)
     kept = drop_repeated(lines, keys)
     log = keys.select("doc_id", change("linea_repetida", "en ≥50 % de las páginas", F.col("original"), "", F.lit(None), F.col("times")).alias("c")).select("doc_id", "c.*")
-    out = repair_units(redact_lines(kept))
-    line = F.col("line")
-    gone = is_page_number(line)
-    out = with_change(out, F.when(gone, F.lit(None)).otherwise(line), F.when(gone, F.array(change("numero_pagina", "línea con solo un número", T.strip_ws(line), ""))))
+    out = run_steps(prepared(kept), [*redact_steps(), *unit_steps(), page_number_step]).drop("whole_rule", "team_head", "in_team")
     return out, log
 
 
