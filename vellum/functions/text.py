@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: All white space of Unicode, which trim() and \s of Java don't cover.
 WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -60,13 +61,13 @@ def readable_sample(c: Column, size: int = 200) -> Column:
     return F.substring(collapse_ws(c), 1, size)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Composed form, stripped; Spark has no function for it."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x).strip())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unaccented(s: pd.Series) -> pd.Series:
     """Compatibility form without combining marks."""
     return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
