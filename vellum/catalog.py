@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.plans import cleaning, documents, inventory, vectors
+from vellum.plans import agent, cleaning, documents, inventory, vectors
 
-MODULES = (vectors, inventory, cleaning, documents)
+MODULES = (vectors, inventory, cleaning, documents, agent)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -37,3 +37,31 @@ def cosine_topk_batch(vectors: DataFrame, questions: DataFrame, k: int = 8, key:
     scored = vectors.crossJoin(F.broadcast(questions)).select("question_id", key, F.round(cosine(F.col(vector), F.col("question")), 6).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("similarity"), key))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+BATCH = 10_000
+
+
+def checked(questions: DataFrame, most: int = BATCH) -> DataFrame:
+    """``questions`` if they are at most ``most``; a larger set is to be asked in several calls."""
+    if questions.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} questions; ask in blocks")
+    return questions
+
+
+def ivf_cells(vectors: DataFrame, k: int, seed: int = 1, sample: float = 1.0, vector: str = "embedding") -> tuple[DataFrame, list[list[float]]]:
+    """The inverted file: vectors with their cell, and the cells' centres. K-means may be fitted on a sample; every
+    vector is put into a cell. Stored by cell (partitionBy), a probe reads only the cells that it needs."""
+    from vellum.operators import clustering
+
+    fitted = clustering.kmeans(vectors if sample >= 1 else vectors.sample(sample, seed), k, seed, vector=vector)
+    centres = [list(map(float, c)) for c in fitted.clusterCenters()]
+    return clustering.assign(vectors, centres, vector).drop("distance2").withColumnRenamed("cluster", "cell"), centres
+
+
+def ivf_topk(indexed: DataFrame, centres: list[list[float]], query: list[float], k: int = 8, probes: int = 4, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Approximate top k: only the ``probes`` cells nearest to the query are scanned, by a filter that prunes."""
+    import numpy as np
+
+    near = np.argsort(((np.array(centres) - np.array(query)) ** 2).sum(1), kind="stable")[:probes]
+    return cosine_topk(indexed.filter(F.col("cell").isin(*map(int, near))), query, k, key, vector)
