@@ -243,9 +243,99 @@ def completion_plan(counts: dict[int, int], capacity: int = CAPACITY, search: bo
     return runs, bins
 
 
-def best_plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Bin completion, or plain best fit where that needs fewer bins."""
-    return min((completion_plan(counts, capacity, search) for search in (True, False)), key=lambda p: p[1])
+def undominated(residual: int, count: np.ndarray, most: int, nodes: int = 600) -> list[list[int]]:
+    """Fillings of ``residual`` to which nothing left can be added, least waste first, ``most`` at most. A filling is
+    dominated, and left out, if one of its lengths can give way to a longer one that is left and fits."""
+    lengths = [int(x) for x in np.flatnonzero(count[: residual + 1])[::-1]]
+    out, seen = [], 0
+
+    def search(k: int, room: int, own: list[int]) -> None:
+        nonlocal seen
+        seen += 1
+        if seen > nodes:
+            return
+        fits = [j for j in range(k, len(lengths)) if lengths[j] <= room and own.count(lengths[j]) < count[lengths[j]]]
+        if not fits:
+            used = {x: own.count(x) for x in own}
+            if not any(count[y] > used.get(y, 0) for x in used for y in lengths if x < y <= x + room):
+                out.append(own)
+            return
+        for j in fits:
+            search(j, room - lengths[j], [*own, lengths[j]])
+
+    search(0, residual, [])
+    return sorted(out, key=lambda own: (-sum(own), [-x for x in own]))[:most]
+
+
+def best_plan(counts: dict[int, int], capacity: int = CAPACITY, steps: int = 2000, wide: int = 6) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """Bin completion with branch and bound over whole plans.
+
+    The incumbent is the better of best fit and of completing each largest length with its best filling. While it has
+    more bins than the total length asks for, other undominated fillings of the largest length are tried, each as often
+    as the counts allow; a branch whose waste so far rules out fewer bins than the incumbent's is left. ``steps`` bounds
+    the fillings that are tried; the incumbent stands when it is reached.
+    """
+    best = min((completion_plan(counts, capacity, search) for search in (True, False)), key=lambda p: p[1])
+    total = sum(length * n for length, n in counts.items())
+    count = np.zeros(capacity + 1, np.int64)
+    for length, n in counts.items():
+        count[length] = n
+    taken = 0
+    # A stack of levels, each a list of fillings still to try, and what the level has applied.
+    stack: list[tuple[Iterator[list[int]], int, int]] = []
+    applied: list[tuple[list[int], int]] = []
+
+    def fillings_of() -> Iterator[list[int]]:
+        present = np.flatnonzero(count)
+        if not len(present):
+            return iter(())
+        largest = int(present[-1])
+        count[largest] -= 1
+        have = np.where(count > 0, np.arange(capacity + 1), 0)
+        first = [fillings(capacity - largest, np.maximum.accumulate(have), count)]
+        others = undominated(capacity - largest, count, wide) if len(present) < 400 else []
+        count[largest] += 1
+        return iter([[largest, *f] for f in [*first, *(f for f in others if f not in first)]])
+
+    def runs_now() -> list[tuple[int, int, int, int, int]]:
+        out, bins, spent = [], 0, {}
+        for own, times in applied:
+            offset = 0
+            for x in own:
+                out.append((x, spent.get(x, 0), times, bins, offset))
+                spent[x] = spent.get(x, 0) + times
+                offset += x
+            bins += times
+        return out
+
+    stack.append((fillings_of(), 0, 0))
+    while stack and taken < steps and best[1] > -(-total // capacity):
+        options, bins, waste = stack[-1]
+        own = next(options, None)
+        if own is None:
+            stack.pop()
+            if applied and len(applied) >= len(stack):
+                last, times = applied.pop()
+                for x in last:
+                    count[x] += times
+            continue
+        taken += 1
+        times = min(int(count[x]) // own.count(x) for x in set(own))
+        more = waste + times * (capacity - sum(own))
+        if more > (best[1] - 1) * capacity - total:
+            continue
+        for x in own:
+            count[x] -= times
+        applied.append((own, times))
+        if not count.any():
+            if bins + times < best[1]:
+                best = runs_now(), bins + times
+            for x in own:
+                count[x] += times
+            applied.pop()
+            continue
+        stack.append((fillings_of(), bins + times, more))
+    return best
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
