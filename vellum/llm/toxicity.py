@@ -84,7 +84,7 @@ def bags(docs: DataFrame) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     return used, [np.frombuffer(x, "<i4") for x in found.column("bag").to_pylist()], found.column("y").to_numpy()
 
 
-def train(used: np.ndarray, found: list[np.ndarray], y: np.ndarray, steps: int = 300, rate: float = 0.1, lasso: float = 1e-4) -> tuple[np.ndarray, float, float]:
+def train(used: np.ndarray, found: list[np.ndarray], y: np.ndarray, steps: int = 300, rate: float = 0.1, lasso: float = 5e-5) -> tuple[np.ndarray, float, float]:
     """Weights of the buckets, bias of a sentence, and the share of label 1. A document in ``found`` is its number of
     sentences, the sentences of its pairs, the places of their buckets."""
     weights, bias = np.zeros(1 << BITS, np.float64), -4.0
