@@ -91,18 +91,19 @@ def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 def chunks(texts: pa.Array, lower: bool = False, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets of the rows in the bytes) of runs of rows of about ``size`` bytes."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if lower:
-        texts = pc.utf8_lower(texts)
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    _, at, data = texts.buffers()
-    offsets = np.frombuffer(at, np.int64, len(texts) + 1, texts.offset * 8) if at is not None else np.zeros(1, np.int64)
-    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    sizes = np.r_[0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)]
     row, n = 0, len(texts)
     while row < n:
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
-        yield row, end, raw[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
+        end = max(row + 1, int(np.searchsorted(sizes, sizes[row] + size, "right")) - 1)
+        part = pc.fill_null(texts.slice(row, end - row).cast(pa.large_string()), "")
+        if lower:
+            part = pc.utf8_lower(part)
+        _, at, data = part.buffers()
+        offsets = np.frombuffer(at, np.int64, len(part) + 1, part.offset * 8)
+        raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+        yield row, end, raw[offsets[0] : offsets[-1]], offsets - offsets[0]
         row = end
 
 

@@ -243,6 +243,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     linked = linked.join(least, "group").select("fp", "links", "group", "class_id")
     told = classes.select("fp", "copy_id", "docs").join(linked, "fp", "left")
     told = told.select("fp", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), F.coalesce("group", "fp").alias("group"), (F.col("docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    told = shared_checkpoint(told)  # so that the join below stands on two plain exchanges, which adaptive execution splits
     out = signed.select("doc_id", "key", "fp").join(told, "fp", "left")
     return out.select("doc_id", "key", "fp", "group", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 

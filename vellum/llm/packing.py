@@ -41,7 +41,7 @@ class WordTokenizer:
     points; ids of words already met are kept as sorted arrays, at most ``keep`` words.
     """
 
-    def __init__(self, path: str, keep: int = 3_000_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
