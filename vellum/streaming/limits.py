@@ -11,6 +11,7 @@ def failures(events: DataFrame, least: int = 5, size: str = "10 minutes", slide:
     bounds how long windows are kept."""
     own = events.filter(F.col("event_type") == "error").select("user_id", "ts")
     if own.isStreaming:
-        own = own.withWatermark("ts", late)
+        own = own.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     out = own.groupBy("user_id", F.window("ts", size, slide).alias("w")).agg(F.count(F.lit(1)).alias("failures"))
-    return out.filter(F.col("failures") >= least).select("user_id", F.col("w.start").alias("window_start"), "failures")
+    begin = F.col("w.start").cast(events.schema["ts"].dataType)
+    return out.filter(F.col("failures") >= least).select("user_id", begin.alias("window_start"), "failures")
