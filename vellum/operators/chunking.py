@@ -7,7 +7,9 @@ truly sequential, runs as Python on one document at a time.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -82,81 +84,91 @@ def tokens(text: str) -> int:
     return max(1, len(text) // CHARS) if text.strip() else 0
 
 
-def split_paragraph(text: str, most: int = TARGET) -> list[str]:
-    """Sentences packed up to ``most`` tokens; what has no sentence end is cut by length."""
-    packed, open_ = [], ""
-    for sentence in SENTENCE_END.split(text):
-        longer = f"{open_} {sentence}".strip()
-        if open_ and tokens(longer) > most:
-            packed.append(open_)
-            longer = sentence
-        open_ = longer
-    if open_:
-        packed.append(open_)
-    width = most * CHARS
-    return [p[k : k + width] for p in packed for k in range(0, len(p), width)]
+def most_chars(limit: int) -> int:
+    """The longest text of at most ``limit`` tokens."""
+    return CHARS * limit + CHARS - 1
 
 
-def split_table(text: str, most: int = TARGET) -> list[str]:
-    """Rows packed up to ``most`` tokens, each piece under the head of the table."""
+def fitting_runs(parts: list[str], limit: int, head: int = 0) -> Iterator[list[str]]:
+    """``parts`` in order, as runs that fit into ``limit`` tokens when joined by one character after ``head``
+    characters; each run is as long as it can be, and has one part at least. Ends of runs come from the running sums
+    of lengths by bisection."""
+    ends = list(accumulate(len(p) + 1 for p in parts))
+    begin = 0
+    while begin < len(parts):
+        spent = ends[begin - 1] if begin else 0
+        end = max(begin + 1, bisect_right(ends, spent + most_chars(limit) - head + 1))
+        yield parts[begin:end]
+        begin = end
+
+
+def split_paragraph(text: str, limit: int = TARGET) -> list[str]:
+    """Runs of sentences; a sentence without an end in sight is cut by length."""
+    width = f"(?s).{{1,{limit * CHARS}}}"
+    return [part for run in fitting_runs(SENTENCE_END.split(text), limit) for part in re.findall(width, " ".join(run))]
+
+
+def split_table(text: str, limit: int = TARGET) -> list[str]:
+    """Runs of rows, each under the head of the table, which reaches to the first rule."""
     rows = text.splitlines()
-    rule = next((k for k, row in enumerate(rows) if TABLE_RULE.fullmatch(row)), -1)
-    head, rest = rows[: rule + 1], rows[rule + 1 :]
-    pieces, own = [], []
-    for row in rest:
-        if own and tokens("\n".join(head + own + [row])) > most:
-            pieces.append(own)
-            own = []
-        own.append(row)
-    if own or not pieces:
-        pieces.append(own)
-    return ["\n".join(head + p) for p in pieces]
+    rules = [n for n, row in enumerate(rows) if TABLE_RULE.fullmatch(row)]
+    head = rows[: rules[0] + 1] if rules else []
+    runs = fitting_runs(rows[len(head) :], limit, sum(len(h) + 1 for h in head))
+    return ["\n".join([*head, *run]) for run in runs] or ["\n".join(head)]
 
 
 def pieces(found: list[tuple]) -> Iterator[tuple]:
     """Blocks (kind, text, page, path), large ones cut."""
     for kind, text, page, path in found:
-        if tokens(text) <= TARGET:
-            yield kind, text, page, path
-        else:
-            for part in split_table(text) if kind == "tabla" else split_paragraph(text):
-                yield kind, part, page, path
+        split = split_table if kind == "tabla" else split_paragraph
+        for part in [text] if tokens(text) <= TARGET else split(text):
+            yield kind, part, page, path
 
 
 def carried(last: tuple) -> list[tuple]:
-    """What a chunk repeats of the last block before it: the block, or its last sentences, but never a table."""
+    """What a chunk repeats of the last block before it: the block if it is short, else as many of its last sentences
+    as are short together; nothing of a table."""
     kind, text, page, path = last
-    if kind == "tabla":
-        return []
-    if tokens(text) <= OVERLAP:
-        return [last]
-    sentences, tail = SENTENCE_END.split(text), []
-    while sentences and tokens(" ".join([sentences[-1], *tail])) <= OVERLAP:
-        tail.insert(0, sentences.pop())
-    return [("parrafo", " ".join(tail), page, path)] if tail else []
+    if kind == "tabla" or tokens(text) <= OVERLAP:
+        return [] if kind == "tabla" else [last]
+    sentences = SENTENCE_END.split(text)
+    from_end = list(accumulate(len(x) + 1 for x in reversed(sentences)))
+    kept = bisect_right(from_end, most_chars(OVERLAP) + 1)
+    return [("parrafo", " ".join(sentences[-kept:]), page, path)] if kept else []
+
+
+def sections(found: list[tuple]) -> Iterator[list[tuple]]:
+    """Pieces between headings; the first section, before any heading, may be empty."""
+    heading = 0
+
+    def number(piece: tuple) -> int:
+        nonlocal heading
+        heading += piece[0] == "titulo"
+        return heading
+
+    for _, group in groupby(pieces(found), number):
+        yield [piece for piece in group if piece[0] != "titulo"]
 
 
 def packed(found: list[tuple]) -> Iterator[list[tuple]]:
-    """Blocks in groups of about TARGET tokens. Headings only end sections; a section of few tokens goes on into the
-    next; what is carried over never crosses into another section and alone makes no group."""
-    own, size, fresh = [], 0, False
-    for block in pieces(found):
-        full = block[0] == "titulo" and size >= MIN_SECTION or block[0] != "titulo" and fresh and size + tokens(block[1]) > TARGET
-        if full:
-            if own and fresh:
-                yield own
-                own = carried(own[-1])
-            else:
-                own = []
-            size, fresh = sum(tokens(b[1]) for b in own), False
-        if block[0] == "titulo":
-            if not fresh:
-                own, size = [], 0
-        else:
-            own.append(block)
-            size, fresh = size + tokens(block[1]), True
-    if own and fresh:
-        yield own
+    """Groups of about TARGET tokens. A section closes the group before it unless that is short; a full group hands its
+    end to the next one of the same section; what was handed on alone makes no group."""
+    group: list[tuple] = []
+    handed = 0  # blocks at the beginning of the group that were handed on
+    for section in sections(found):
+        whole = len(group) > handed
+        if not whole or sum(tokens(b[1]) for b in group) >= MIN_SECTION:
+            if whole:
+                yield group
+            group, handed = [], 0
+        for block in section:
+            if len(group) > handed and sum(tokens(b[1]) for b in [*group, block]) > TARGET:
+                yield group
+                group = carried(group[-1])
+                handed = len(group)
+            group = [*group, block]
+    if len(group) > handed:
+        yield group
 
 
 FOLD = "doc_id long, chunk_no int, text string, path array<string>, first_page int, last_page int"
