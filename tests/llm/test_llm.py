@@ -168,6 +168,24 @@ def test_lm_scoring_edges(edges, nothing):
     assert scoring.score(nothing, scoring.fit(nothing)).count() == 0
 
 
+def test_lm_scoring_trains_every_word(spark):
+    texts = ["solo", "uno dos", prose(7, 1), prose(50, 2), prose(200, 3)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    v, start = scoring.Vocabulary(scoring.bucket_counts(df)), scoring.flat(scoring.fresh())
+    seen = [scoring.trained_copies(df, start, v, turn).first()["words"] for turn in range(scoring.ROUNDS)]
+    assert sum(seen) == sum(len(t.split()) for t in texts)
+
+
+def test_lm_scoring_shared_ids():
+    counts = np.zeros(scoring.BUCKETS, np.int64)
+    counts[:20000] = np.arange(20000, 0, -1)
+    v = scoring.Vocabulary(counts)
+    share = np.exp(v.bucket_share)
+    assert np.allclose(np.bincount(v.ids, share, scoring.IDS)[1:], 1) and np.allclose(share[:3000], 1)
+    shared = np.flatnonzero(v.ids == v.ids[10000])
+    assert len(shared) > 100 and share[10000] == share[shared[shared >= 10000]].max() and share[10000] > share[30000]
+
+
 # 4 personal data
 
 

@@ -7,10 +7,11 @@ tanh; a two-level softmax gives the class of the word (one of ``CLASSES``) and t
 1. Words are hashed into ``BUCKETS`` buckets, whose counts over the whole corpus are summed by Spark. The most frequent
    buckets get ids of their own, the others share the last ``SHARED`` ids. Counts also set the softmax's biases.
 2. ``ROUNDS`` times every partition trains a copy of the network in numpy (Adagrad) on its own documents, at every
-   ``STRIDE``-th word beginning at a place that differs by document and round; copies are averaged, weighted by the
-   words they saw, in two levels of groups so that no task gets all of them. All documents take part; the network's
-   size is fixed, and what is gathered grows with the corpus.
-3. All words of all documents are scored on the executors.
+   ``ROUNDS``-th word beginning at a place that differs by document and moves on with the round, so that every word of
+   every document is trained at exactly once; copies are averaged, weighted by the words they saw, in two levels of groups so
+   that no task gets all of them. The network's size is fixed, and what is gathered grows with the corpus.
+3. All words of all documents are scored on the executors: the network's probability of the word's id times the share
+   of the word's bucket in that id.
 
 A null or empty text, or one without words, has log_prob 0, 0 words and no mean. Repeated rows are scored alike. An
 empty corpus gives an empty result. Columns other than doc_id and text are not read.
@@ -36,7 +37,6 @@ WIDTH = 24
 SIDE = 2
 PLACES = [-2, -1, 1, 2]
 ROUNDS = 2
-STRIDE = 24
 BATCH = 1024
 SLICE = 8192
 RATE = 0.15
@@ -65,7 +65,8 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
 
 
 class Vocabulary:
-    """The id of each bucket, and log shares of the classes and of the ids within them. Id 0 stands beside texts."""
+    """The id of each bucket, and log shares of the classes, of the ids within them and of the buckets within their
+    ids. Id 0 stands beside texts."""
 
     def __init__(self, counts: np.ndarray):
         order = np.lexsort((np.arange(BUCKETS), -counts))
@@ -76,6 +77,8 @@ class Vocabulary:
         shares = np.bincount(self.ids, counts, IDS).reshape(CLASSES, CLASSES) + 0.5
         self.class_bias = np.log(shares.sum(1) / shares.sum()).astype(np.float32)
         self.id_bias = np.log(shares / shares.sum(1, keepdims=True)).astype(np.float32)
+        counts = counts + 0.5
+        self.bucket_share = np.log(counts / np.bincount(self.ids, counts, IDS)[self.ids])
 
 
 def fresh(seed: int = 11) -> dict[str, np.ndarray]:
@@ -139,31 +142,43 @@ def log_probabilities(p: dict[str, np.ndarray], v: Vocabulary, beside: np.ndarra
 
 def learn(p: dict[str, np.ndarray], sums: dict[str, np.ndarray], v: Vocabulary, beside: np.ndarray, target: np.ndarray, rate: float = RATE) -> None:
     """One Adagrad step on a batch, in place."""
-    n = len(target)
+    n, every = len(target), np.arange(len(target))
+    order = np.argsort((target // CLASSES).astype(np.uint16), kind="stable")  # the words of a class are one run
+    beside, target = beside[order], target[order]
     kind, member = np.divmod(target, CLASSES)
-    h = hidden(p, beside)
+    at = bounds(kind, CLASSES)
+    some = np.flatnonzero(np.diff(at))
+    runs = [(c, slice(at[c], at[c + 1])) for c in some]
+    near = p["E"][beside]
+    h = np.tanh(np.einsum("nkd,kd->nd", near, p["P"]) + p["b"])
     dc = softmax(h @ p["C"].T + v.class_bias)
-    dc[np.arange(n), kind] -= 1
-    dh, gC, gM = dc @ p["C"], dc.T @ h, {}
-    order = np.argsort(kind, kind="stable")
-    at = bounds(kind[order], CLASSES)
-    for c in np.flatnonzero(np.diff(at)):
-        own = order[at[c] : at[c + 1]]
-        dm = softmax(h[own] @ p["M"][c].T + v.id_bias[c])
-        dm[np.arange(len(own)), member[own]] -= 1
-        dh[own] += dm @ p["M"][c]
-        gM[c] = dm.T @ h[own]
+    dc[every, kind] -= 1
+    dm = v.id_bias[kind]
+    for c, own in runs:
+        dm[own] += h[own] @ p["M"][c].T
+    dm = softmax(dm)
+    dm[every, member] -= 1
+    dh, gM = dc @ p["C"], np.empty((len(some), CLASSES, WIDTH), np.float32)
+    for k, (c, own) in enumerate(runs):
+        dh[own] += dm[own] @ p["M"][c]
+        gM[k] = dm[own].T @ h[own]
     da = dh * (1 - h * h)
-    gP = np.stack([(da * p["E"][beside[:, k]]).sum(0) for k in range(len(PLACES))])
-    used, back = np.unique(beside, return_inverse=True)
-    back = back.reshape(beside.shape)
-    gE = np.zeros((len(used), WIDTH), np.float32)
-    for k in range(len(PLACES)):
-        for d in range(WIDTH):
-            gE[:, d] += np.bincount(back[:, k], da[:, d] * p["P"][k, d], len(used))
-    for key, at_, g in (("C", slice(None), gC), ("P", slice(None), gP), ("b", slice(None), da.sum(0)), ("E", used, gE), *(("M", c, g) for c, g in gM.items())):
-        sums[key][at_] += (g / n) ** 2 * n
-        p[key][at_] -= rate * (g / np.sqrt(n)) / np.sqrt(sums[key][at_] + 1e-3)
+    gP = np.einsum("nd,nkd->kd", da, near)
+    each = beside.ravel().astype(np.uint16)
+    order = np.argsort(each, kind="stable")
+    each = each[order]
+    first = np.flatnonzero(np.r_[True, each[1:] != each[:-1]])
+    used = each[first].astype(np.int64)
+    gE = np.add.reduceat((da[:, None, :] * p["P"]).reshape(-1, WIDTH)[order], first, axis=0)
+    for key, at_, g in (("C", slice(None), dc.T @ h), ("P", slice(None), gP), ("b", slice(None), da.sum(0)), ("E", used, gE), ("M", some if len(some) < CLASSES else slice(None), gM)):
+        g = g * n**-0.5  # a Python float, so that single precision stays
+        seen = sums[key][at_] + g * g
+        sums[key][at_] = seen
+        seen += 1e-3
+        np.sqrt(seen, out=seen)
+        g *= rate
+        g /= seen
+        p[key][at_] -= g
 
 
 def trained_copies(docs: DataFrame, start: np.ndarray, v: Vocabulary, turn: int) -> DataFrame:
@@ -184,7 +199,7 @@ def trained_copies(docs: DataFrame, start: np.ndarray, v: Vocabulary, turn: int)
                     continue
                 ids = v.ids[bucket]
                 first = bounds(row, int(row[-1]) + 1)[row]
-                at = np.flatnonzero((np.arange(len(ids)) - first + bucket[first] + turn * (STRIDE // ROUNDS)) % STRIDE == 0)
+                at = np.flatnonzero((np.arange(len(ids)) - first + bucket[first] + turn) % ROUNDS == 0)
                 words += len(at)
                 held.append((neighbours(ids, row, at), ids[at]))
                 if sum(len(t) for _, t in held) >= BATCH:
@@ -238,7 +253,7 @@ def score(docs: DataFrame, model: tuple[dict[str, np.ndarray], Vocabulary]) -> D
                 logs = np.zeros(len(ids))
                 for a in range(0, len(ids), 16384):
                     at = np.arange(a, min(a + 16384, len(ids)))
-                    logs[at] = log_probabilities(p, v, neighbours(ids, row, at), ids[at])
+                    logs[at] = log_probabilities(p, v, neighbours(ids, row, at), ids[at]) + v.bucket_share[bucket[at]]
                 words = np.bincount(row, minlength=hi - lo)
                 total = np.bincount(row, logs, hi - lo)
                 mean = pa.array(total / np.maximum(words, 1), pa.float64(), mask=words == 0)
