@@ -226,6 +226,16 @@ def test_private_bootstrapping(spark, docs):
     assert clean[2 * 10**6] == "and call me at [FOUND] today please" and clean[10**6] == "blah please call me at [PHONE] today" and clean[2 * 10**6 + 1] == texts[2 * 10**6 + 1]
 
 
+def test_private_blocks_of_patterns(spark, monkeypatch):
+    hosts = ["bab", "kek", "lol", "mim", "nun", "pup"]
+    texts = [f"contact q{k}@{h}.com w{k}@{h}z.org today" for h in hosts for k in range(4)] + [f"contact a@{h}.com 1234567{i} today" for i, h in enumerate(hosts)]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)] + [(1000, None, None)], "doc_id long, text string, n_chars int")
+    want = sorted(map(tuple, private.redact(df).collect()))
+    assert [t for i, t, _ in want if 24 <= i < 1000] == ["contact [EMAIL] [FOUND] today"] * len(hosts)
+    monkeypatch.setattr(private, "PATTERNS", 3)
+    assert sorted(map(tuple, private.redact(df).collect())) == want
+
+
 def test_private_edges(edges, nothing):
     rows = private.extract(edges).collect()
     assert len(rows) == len(EDGES)

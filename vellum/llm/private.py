@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from vellum.llm.common import shared_checkpoint, table
 
@@ -185,23 +186,34 @@ def extract(docs: DataFrame, **settings) -> DataFrame:
 
 def redact(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with the personal data of each text replaced by its kind in brackets, and n_chars, where there is such
-    a column, counted anew. Confident patterns reach the tasks in blocks of at most ``PATTERNS``."""
+    a column, counted anew. Confident patterns reach the tasks in blocks of at most ``PATTERNS``: each block adds the
+    places it finds in the original text to a column, and the text is rewritten once, after the last."""
     seen = scanned(docs).select("seen")
     patterns = shared_checkpoint(confident_patterns(seen, **settings).select("pattern"))
     shares = max(1, -(-patterns.count() // PATTERNS))
+    schema, places = docs.schema, "places"
+    while places in docs.columns:
+        places += "_"
+    held = StructType([*schema.fields, StructField(places, ArrayType(LongType()))])
     for k in range(shares):
         part = patterns if shares == 1 else patterns.filter(F.pmod(F.xxhash64("pattern"), F.lit(shares)) == k)
         shared = docs.sparkSession.sparkContext.broadcast(frozenset(part.toArrow().column("pattern").to_pylist()))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, k=k) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 at, count = batch.schema.get_field_index("text"), batch.schema.get_field_index("n_chars")
                 texts, sizes = batch.column(at).to_pylist(), batch.column(count).to_pylist() if count >= 0 else None
+                known = batch.column(len(schema)).to_pylist() if k else [[] for _ in texts]
                 for i, text in enumerate(texts):
                     if not text:
                         continue
                     base = base_spans(text)
-                    spans = sorted(base + [(a, 4, b) for a, b in identifiers(text, base) if any(p in shared.value for p in contexts(text, a, b))])
+                    before = set(known[i])  # starts of the identifiers that earlier blocks found
+                    tokens = [(a, 4, b) for a, b in identifiers(text, base) if a in before or any(p in shared.value for p in contexts(text, a, b))]
+                    if k < shares - 1:
+                        known[i] = [a for a, _, _ in tokens]
+                        continue
+                    spans = sorted(base + tokens)
                     if not spans:
                         continue
                     out, last = [], 0
@@ -214,13 +226,16 @@ def redact(docs: DataFrame, **settings) -> DataFrame:
                     texts[i] = "".join(out) + text[last:]
                     if sizes is not None and sizes[i] is not None:
                         sizes[i] = len(texts[i])
-                columns = list(batch.columns)
-                columns[at] = pa.array(texts, batch.schema.field(at).type)
-                if sizes is not None:
-                    columns[count] = pa.array(sizes, batch.schema.field(count).type)
-                yield pa.record_batch(columns, names=batch.schema.names)
-
-        docs = docs.mapInArrow(run, docs.schema)
+                columns, names = list(batch.columns)[: len(schema)], batch.schema.names[: len(schema)]
+                if k < shares - 1:
+                    columns, names = [*columns, pa.array(known, pa.list_(pa.int64()))], [*names, places]
+                else:
+                    columns[at] = pa.array(texts, batch.schema.field(at).type)
+                    if sizes is not None:
+                        columns[count] = pa.array(sizes, batch.schema.field(count).type)
+                yield pa.record_batch(columns, names=names)
+
+        docs = docs.mapInArrow(run, held if k < shares - 1 else schema)
     return docs
 
 
