@@ -317,6 +317,17 @@ def test_packing_near_optimum():
     assert gap <= 2
 
 
+def test_packing_branches_over_many_lengths():
+    for seed, parts, bins in ((0, 4, 600), (5, 5, 600), (9, 4, 800)):
+        rng, counts = random.Random(seed), Counter()
+        for _ in range(bins):
+            cuts = sorted(rng.sample(range(1, 2048), parts - 1))
+            counts.update(b - a for a, b in zip([0, *cuts], [*cuts, 2048]))
+        assert len(counts) > 1000
+        assert min(packing.completion_plan(counts, 2048, search)[1] for search in (True, False)) > bins
+        assert packing.best_plan(counts)[1] == bins
+
+
 def test_packing_edges(edges, nothing, tokenizer_path):
     rows = packing.pack(edges, tokenizer_path).toPandas()
     assert rows[rows.doc_id == 1].length.tolist() == [1] and (rows.doc_id == 4).sum() == 2 and rows.doc_id.isna().sum() == 1

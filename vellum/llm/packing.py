@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -243,59 +243,77 @@ def completion_plan(counts: dict[int, int], capacity: int = CAPACITY, search: bo
     return runs, bins
 
 
-def undominated(residual: int, count: np.ndarray, most: int, nodes: int = 600) -> list[list[int]]:
-    """Fillings of ``residual`` to which nothing left can be added, least waste first, ``most`` at most. A filling is
-    dominated, and left out, if one of its lengths can give way to a longer one that is left and fits."""
-    lengths = [int(x) for x in np.flatnonzero(count[: residual + 1])[::-1]]
-    out, seen = [], 0
+def undominated(residual: int, largest: int, count: np.ndarray, spend: Callable[[], bool]) -> Iterator[list[int]]:
+    """Fillings of ``residual`` beside one ``largest`` to which nothing left can be added, larger lengths first. A
+    filling is dominated, and left out, if one of its lengths can give way to a longer one that is left and fits. They
+    are found as they are asked for, when ``count`` is as at the first; ``spend`` is asked before each length is added."""
+    have = np.where(count > 0, np.arange(len(count)), 0)
+    longest = np.maximum.accumulate(have).tolist()
+    left = {largest: 1}
 
-    def search(k: int, room: int, own: list[int]) -> None:
-        nonlocal seen
-        seen += 1
-        if seen > nodes:
-            return
-        fits = [j for j in range(k, len(lengths)) if lengths[j] <= room and own.count(lengths[j]) < count[lengths[j]]]
-        if not fits:
-            used = {x: own.count(x) for x in own}
-            if not any(count[y] > used.get(y, 0) for x in used for y in lengths if x < y <= x + room):
-                out.append(own)
-            return
-        for j in fits:
-            search(j, room - lengths[j], [*own, lengths[j]])
+    def below(s: int) -> int:
+        x = longest[s] if s > 0 else 0
+        while x and count[x] <= left.get(x, 0):
+            x = longest[x - 1]
+        return x
 
-    search(0, residual, [])
-    return sorted(out, key=lambda own: (-sum(own), [-x for x in own]))[:most]
+    own: list[int] = []
+    room, x = residual, below(residual)
+    while True:
+        while x:
+            if not spend():
+                return
+            own.append(x)
+            left[x] = left.get(x, 0) + 1
+            room -= x
+            x = below(min(room, x))
+        if not below(room) and not any(below(min(y + room, len(longest) - 1)) > y for y in set(own)):
+            yield own.copy()
+        while own and not x:
+            y = own.pop()
+            left[y] -= 1
+            room += y
+            x = below(y - 1)
+        if not x:
+            return
 
 
-def best_plan(counts: dict[int, int], capacity: int = CAPACITY, steps: int = 2000, wide: int = 6) -> tuple[list[tuple[int, int, int, int, int]], int]:
+def best_plan(counts: dict[int, int], capacity: int = CAPACITY, steps: int | None = None) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Bin completion with branch and bound over whole plans.
 
     The incumbent is the better of best fit and of completing each largest length with its best filling. While it has
     more bins than the total length asks for, other undominated fillings of the largest length are tried, each as often
     as the counts allow; a branch whose waste so far rules out fewer bins than the incumbent's is left. ``steps`` bounds
-    the fillings that are tried; the incumbent stands when it is reached.
+    the fillings that are tried, and ten times as many bound the lengths that are added in looking for them; the
+    incumbent stands when either is reached. Unless given, it is 2000 and 10 for each different length.
     """
     best = min((completion_plan(counts, capacity, search) for search in (True, False)), key=lambda p: p[1])
     total = sum(length * n for length, n in counts.items())
     count = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         count[length] = n
-    taken = 0
+    steps = 2000 + 10 * len(counts) if steps is None else steps
+    taken, added = 0, 0
     # A stack of levels, each a list of fillings still to try, and what the level has applied.
     stack: list[tuple[Iterator[list[int]], int, int]] = []
     applied: list[tuple[list[int], int]] = []
 
+    def spend() -> bool:
+        nonlocal added
+        added += 1
+        return added <= 10 * steps
+
     def fillings_of() -> Iterator[list[int]]:
         present = np.flatnonzero(count)
         if not len(present):
-            return iter(())
+            return
         largest = int(present[-1])
         count[largest] -= 1
         have = np.where(count > 0, np.arange(capacity + 1), 0)
-        first = [fillings(capacity - largest, np.maximum.accumulate(have), count)]
-        others = undominated(capacity - largest, count, wide) if len(present) < 400 else []
+        first = fillings(capacity - largest, np.maximum.accumulate(have), count)
         count[largest] += 1
-        return iter([[largest, *f] for f in [*first, *(f for f in others if f not in first)]])
+        yield [largest, *first]
+        yield from ([largest, *f] for f in undominated(capacity - largest, largest, count, spend) if f != first)
 
     def runs_now() -> list[tuple[int, int, int, int, int]]:
         out, bins, spent = [], 0, {}
