@@ -203,6 +203,20 @@ def test_ivf_recall(spark, sf_dir):
     assert hits >= 0.9 * 80
 
 
+def test_ivf_recall_of_the_query(spark):
+    from vellum.plans import vectors as P
+
+    path = "/root/testdata/sf0.1"
+    df = spark.read.parquet(f"{path}/embeddings.parquet")
+    got = {(r["question_id"], r["vec_id"]) for r in P.ivf_topk(spark, path).collect()}
+    questions = df.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("question"))
+    exact = {(r["question_id"], r["vec_id"]) for r in V.cosine_topk_batch(df, questions).collect()}
+    print("recall", len(got & exact) / len(exact))
+    assert {q for q, _ in got} == {q for q, _ in exact} and len(got & exact) >= 0.9 * len(exact)
+    blocks = V.in_blocks(questions, lambda part: V.cosine_topk_batch(df, part), most=15)
+    assert {(r["question_id"], r["vec_id"]) for r in blocks.collect()} == exact
+
+
 def test_budget_and_upsert(spark):
     totals = spark.createDataFrame([(0, 100), (1, 100), (2, 10), (3, 1)], "batch long, tokens long")
     assert [r["batch"] for r in B.within_budget(totals, 0, 220).collect()] == [0]

@@ -40,6 +40,7 @@ def cosine_topk_batch(vectors: DataFrame, questions: DataFrame, k: int = 8, key:
 
 
 BATCH = 10_000
+PROBES = 6
 
 
 def checked(questions: DataFrame, most: int = BATCH) -> DataFrame:
@@ -49,6 +50,18 @@ def checked(questions: DataFrame, most: int = BATCH) -> DataFrame:
     return questions
 
 
+def in_blocks(questions: DataFrame, ask, most: int = BATCH, key: str = "question_id") -> DataFrame:
+    """``ask`` of all questions, in blocks of at most ``most`` that a hash of the key deals out."""
+    n = questions.count()
+    shares = 1 if n <= most else -(-2 * n // most)
+    out = None
+    for b in range(shares):
+        part = questions if shares == 1 else questions.filter(F.pmod(F.xxhash64(key), F.lit(shares)) == b)
+        found = ask(checked(part, most))
+        out = found if out is None else out.unionAll(found)
+    return out
+
+
 def ivf_cells(vectors: DataFrame, k: int, seed: int = 1, sample: float = 1.0, vector: str = "embedding") -> tuple[DataFrame, list[list[float]]]:
     """The inverted file: vectors with their cell, and the cells' centres. K-means may be fitted on a sample; every
     vector is put into a cell. Stored by cell (partitionBy), a probe reads only the cells that it needs."""
@@ -59,9 +72,19 @@ def ivf_cells(vectors: DataFrame, k: int, seed: int = 1, sample: float = 1.0, ve
     return clustering.assign(vectors, centres, vector).drop("distance2").withColumnRenamed("cluster", "cell"), centres
 
 
-def ivf_topk(indexed: DataFrame, centres: list[list[float]], query: list[float], k: int = 8, probes: int = 4, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def ivf_topk(indexed: DataFrame, centres: list[list[float]], query: list[float], k: int = 8, probes: int = PROBES, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Approximate top k: only the ``probes`` cells nearest to the query are scanned, by a filter that prunes."""
     import numpy as np
 
     near = np.argsort(((np.array(centres) - np.array(query)) ** 2).sum(1), kind="stable")[:probes]
     return cosine_topk(indexed.filter(F.col("cell").isin(*map(int, near))), query, k, key, vector)
+
+
+def ivf_topk_batch(indexed: DataFrame, centres: list[list[float]], questions: DataFrame, k: int = 8, probes: int = PROBES, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Approximate top k for each of the ``checked`` questions (question_id, question), each in its own ``probes``
+    cells."""
+    cells = F.array(*(F.struct(F.aggregate(F.zip_with(as_double(F.col("question")), F.array(*map(F.lit, c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x).alias("distance2"), F.lit(i).alias("cell")) for i, c in enumerate(centres)))
+    near = questions.select("question_id", "question", F.explode(F.slice(F.array_sort(cells), 1, probes)["cell"]).alias("cell"))
+    scored = indexed.join(F.broadcast(near), "cell").select("question_id", key, F.round(cosine(F.col(vector), F.col("question")), 6).alias("similarity")).filter(F.col("similarity").isNotNull())
+    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("similarity"), key))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -33,7 +33,9 @@ def cosine_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir)
     indexed, centres = V.ivf_cells(df, 8)
-    return V.ivf_topk(indexed, centres, first_vector(df))
+    questions = df.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("question"))
+    found = V.in_blocks(questions, lambda part: V.ivf_topk_batch(indexed, centres, part))
+    return found.select("question_id", "vec_id", "similarity", F.col("rank").cast("long"))
 
 
 def centres(spark: SparkSession, sf_dir: str) -> list[list[float]]:
