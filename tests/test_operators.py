@@ -186,6 +186,16 @@ def test_ports():
     assert A.halving(small, OverflowError)(list(range(20))) == [i * 2 for i in range(20)]
 
 
+def test_agent_asks_everything(spark, sf_dir):
+    from vellum.plans import agent as P
+
+    items = {r["item_id"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id").collect()}
+    assert len(items) > 20 and {r["question_id"] for r in P.ask(spark, sf_dir)[0].select("question_id").collect()} == items
+    long = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("length(text) > 800").orderBy("doc_id").first()
+    got = P.fragments(spark, sf_dir).filter(F.col("doc_id") == long["doc_id"]).first()["embedding"]
+    assert got == pytest.approx(A.hashed_embedding()([long["text"]])[0])
+
+
 def test_graph_searches():
     from vellum.plans.agent import ROADS
 

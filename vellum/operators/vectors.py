@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,16 +52,16 @@ def checked(questions: DataFrame, most: int = BATCH) -> DataFrame:
     return questions
 
 
-def in_blocks(questions: DataFrame, ask, most: int = BATCH, key: str = "question_id") -> DataFrame:
-    """``ask`` of all questions, in blocks of at most ``most`` that a hash of the key deals out."""
+def blocks(questions: DataFrame, most: int = BATCH, key: str = "question_id") -> list[DataFrame]:
+    """``questions`` in checked blocks of at most ``most``, dealt out by a hash of the key."""
     n = questions.count()
     shares = 1 if n <= most else -(-2 * n // most)
-    out = None
-    for b in range(shares):
-        part = questions if shares == 1 else questions.filter(F.pmod(F.xxhash64(key), F.lit(shares)) == b)
-        found = ask(checked(part, most))
-        out = found if out is None else out.unionAll(found)
-    return out
+    return [checked(questions if shares == 1 else questions.filter(F.pmod(F.xxhash64(key), F.lit(shares)) == b), most) for b in range(shares)]
+
+
+def in_blocks(questions: DataFrame, ask, most: int = BATCH, key: str = "question_id") -> DataFrame:
+    """``ask`` of all questions, block by block."""
+    return reduce(DataFrame.unionAll, [ask(part) for part in blocks(questions, most, key)])
 
 
 def ivf_cells(vectors: DataFrame, k: int, seed: int = 1, sample: float = 1.0, vector: str = "embedding") -> tuple[DataFrame, list[list[float]]]:

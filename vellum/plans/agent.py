@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,12 +56,12 @@ def answer_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     f = F.struct(F.col("doc_id").alias("id"), A.citation(F.concat(F.lit("Libro "), "source"), (F.col("doc_id") % 50 + 1).cast("int"), (F.col("doc_id") % 50 + 1 + F.col("doc_id") % 2).cast("int")).alias("cite"), F.array("source").alias("path"), F.array().cast("array<string>").alias("dubious_units"), F.substring("text", 1, A.FRAGMENT_CHARS).alias("text"))
-    return A.embed(docs.select("doc_id", f.alias("fragment"), F.substring("text", 1, 400).alias("head")), "head", A.hashed_embedding()).select("doc_id", "fragment", "embedding")
+    return A.embed(docs.select("doc_id", f.alias("fragment"), "text"), "text", A.hashed_embedding()).select("doc_id", "fragment", "embedding")
 
 
 def ask(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A whole run with offline stand-ins for the ports: twenty questions, the words of benchmark items."""
-    questions = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("item_id < 20").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    """A whole run with offline stand-ins for the ports: the texts of all benchmark items, in blocks of questions."""
+    questions = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
     library = fragments(spark, sf_dir)
 
     def reformulate(df: DataFrame) -> DataFrame:
@@ -78,7 +80,8 @@ def ask(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     def write(df: DataFrame) -> DataFrame:
         return df.withColumn("answer", F.concat(F.lit("Según la biblioteca [1]: "), F.substring("question", 1, 40)))
 
-    return A.answer_questions(questions, reformulate, search, evaluate, write)
+    answers, events = zip(*(A.answer_questions(part, reformulate, search, evaluate, write) for part in V.blocks(questions)))
+    return reduce(DataFrame.unionAll, answers), reduce(DataFrame.unionAll, events)
 
 
 def agent_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
