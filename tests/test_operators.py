@@ -227,6 +227,15 @@ def test_ivf_recall_of_the_query(spark):
     assert {(r["question_id"], r["vec_id"]) for r in blocks.collect()} == exact
 
 
+def test_mlp_learns_from_the_whole_table(spark, sf_dir, monkeypatch):
+    from vellum.plans import vectors as P
+
+    seen = []
+    monkeypatch.setattr(P.mlp, "train", lambda rows, **settings: seen.append((rows.count(), settings)))
+    P.mlp_train(spark, sf_dir)
+    assert seen == [(spark.read.parquet(f"{sf_dir}/embeddings.parquet").count(), {})] and P.mlp.EPOCHS == 500
+
+
 def test_budget_and_upsert(spark):
     totals = spark.createDataFrame([(0, 100), (1, 100), (2, 10), (3, 1)], "batch long, tokens long")
     assert [r["batch"] for r in B.within_budget(totals, 0, 220).collect()] == [0]

@@ -79,8 +79,8 @@ def mlp_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mlp_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir).filter("vec_id < 150").select(F.col("vec_id").alias("id"), F.slice(V.as_double(F.col("embedding")), 1, 4).alias("inputs"), F.transform(mlp.one_hot(F.col("label") % 3, 3), lambda x: x.cast("double")).alias("wanted"))
-    return mlp.train(rows, epochs=20)
+    rows = table(spark, sf_dir).select(F.col("vec_id").alias("id"), F.slice(V.as_double(F.col("embedding")), 1, 4).alias("inputs"), F.transform(mlp.one_hot(F.col("label") % 3, 3), lambda x: x.cast("double")).alias("wanted"))
+    return mlp.train(rows)
 
 
 def kmeans_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
