@@ -3,18 +3,23 @@
 Texts are worked on as Arrow buffers: a column's UTF-8 bytes are one numpy array, and words, shingles, sentences
 and passages are index arrays into it, so no Python object is made per word. A null text counts as an empty one.
 Chunks of about ``CHUNK`` bytes bound the temporaries of the tasks.
+
+Python workers serve many tasks of different stages. ``map_batches`` gives what a task's allocators still hold back to
+the system when the task ends, so that a worker's memory follows its present task and not the largest it has had.
 """
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CHUNK = 1 << 20
 U64 = np.uint64
@@ -24,25 +29,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The folder in ``spark.checkpoint.dir``, which all machines share. Only a session on one machine may do without
+    it, and gets a temporary folder; elsewhere a local folder would lose data with its executor, so this raises."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder or tempfile.mkdtemp(prefix=f"{name}-")
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a local
-    temporary folder is set up.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder (``shared_folder``) and go on from there. The files live as long as
+    what reads them; the session's cleaner removes them if spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
     return df.checkpoint(eager=True)
 
 
-def labelled_sample(docs: DataFrame, label: DataFrame, learn: F.Column, rows: int) -> DataFrame:
-    """The texts of at most ``rows`` labelled documents, chosen by a hash of their id: doc_id, text, y.
+def release() -> None:
+    """Give unused memory of this process back to the system, where its allocators can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow(run, schema)``, with ``release`` at the end of each task."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
 
-    ``label`` has doc_id and y; ``learn`` is the condition on doc_id under which a label may be learned from. The
-    bound is the documented limit of what a classifier is fitted on; the ids of the sample are broadcast, and their
-    number is at most ``rows``.
+    return df.mapInArrow(task, schema)
+
+
+def labelled_sample(docs: DataFrame, label: DataFrame, learn: F.Column, rows: int, size: int) -> DataFrame:
+    """The texts of at most ``rows`` labelled documents of at most ``size`` characters together, chosen by a hash of
+    their id: doc_id, text, y.
+
+    ``label`` has doc_id and y; ``learn`` is the condition on doc_id under which a label may be learned from. Both
+    bounds are the documented limits of what a classifier is fitted on. Texts are taken whole, those of over a
+    hundredth of ``size`` last. Of several rows with one doc_id the least text and the largest y count. The ids of the
+    sample are broadcast, and their number is at most ``rows``.
     """
     ids = (
         label.filter(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & learn)
@@ -51,7 +84,12 @@ def labelled_sample(docs: DataFrame, label: DataFrame, learn: F.Column, rows: in
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    found = shared_checkpoint(found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")))
+    sized = found.select("doc_id", F.length("text").cast("long").alias("n"))
+    order = Window.orderBy((F.col("n") * 100 > size).cast("int"), F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    fits = sized.withColumn("total", F.sum("n").over(order)).filter(F.col("total") <= size).select("doc_id")  # ``rows`` pairs of numbers
+    return found.join(F.broadcast(fits), "doc_id", "left_semi")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -64,18 +102,23 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 BASE = 0x9E3779B97F4A7C15
-_powers = {"fwd": np.ones(1, U64), "inv": np.ones(1, U64)}
+KEPT_POWERS = 5 * CHUNK // 4  # a chunk and a bit; longer ones, for single long texts, are made when they are needed
+_powers: dict[int, np.ndarray] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    if len(_powers["fwd"]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        for key, base in (("fwd", BASE), ("inv", pow(BASE, -1, 1 << 64))):
-            a = np.full(size, U64(base))
-            a[0] = 1
-            _powers[key] = np.cumprod(a, dtype=U64)
-    return _powers["fwd"][:n], _powers["inv"][:n]
+    out = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        own = _powers.get(base)
+        if own is None or len(own) < n:
+            own = np.full(KEPT_POWERS if n <= KEPT_POWERS else n, U64(base))
+            own[0] = 1
+            np.cumprod(own, dtype=U64, out=own)
+            if n <= KEPT_POWERS:
+                _powers[base] = own
+        out.append(own[:n])
+    return out[0], out[1]
 
 
 def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -175,5 +218,15 @@ def bounds(row: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(row, np.arange(n + 1))
 
 
+def byte_slices(batch: pa.RecordBatch, size: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``size`` bytes of text, one row at least."""
+    sizes = np.r_[0, np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)]
+    row = 0
+    while row < batch.num_rows:
+        end = max(row + 1, int(np.searchsorted(sizes, sizes[row] + size, "right")) - 1)
+        yield batch.slice(row, end - row)
+        row = end
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))

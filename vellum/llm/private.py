@@ -2,7 +2,8 @@
 
 The base patterns (e-mail, IP address, card, phone) give seed entities. Every seed, and every other token that looks
 like an identifier (``DIGITS`` digits or more, or an at sign), stands in a context, which gives lexical patterns: the
-two words before it, and the words on either side. Patterns and instances form a bipartite graph, which Spark scores
+two words before it, and the words on either side. Context words are whole; one of over ``LONG`` characters is written
+as its digest, and so is every instance, so that rows stay short and different texts stay apart. Patterns and instances form a bipartite graph, which Spark scores
 in turns: a pattern's confidence is the mean score of its different instances, seeds having the score 1 and unknown
 instances what the patterns of the last turn give them, by noisy-or; a pattern needs ``SUPPORT`` different seeds.
 After ``ROUNDS`` turns, patterns of confidence ``CONFIDENT`` or more discover the unknown identifiers that stand in
@@ -10,7 +11,8 @@ them (kind ``found``).
 
 Whole texts are read once; what is kept of a document are its spans and the contexts of its identifiers, by a key of
 the row. Counts go through partial aggregates on (pattern, instance), so copies and common patterns collapse before
-they are shuffled.
+they are shuffled. A very common pattern or instance is spread over tasks by adaptive execution: both sides of each
+join are written tables, whose exchanges it can split.
 
 Spans are kind:start:end in code points, the end exclusive. A null or empty text has none. Repeated rows are scanned
 alike; columns other than doc_id and text are only read by ``redact``, which keeps them.
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from vellum.llm.common import shared_checkpoint, table
+from vellum.llm.common import byte_slices, map_batches, shared_checkpoint, table
 
 KINDS = ("email", "ip", "card", "phone", "found")
 SUPPORT = 3
@@ -45,7 +48,8 @@ SOME = re.compile(r"[0-9@]")
 TOKEN = re.compile(r"[0-9@][A-Za-z0-9@._%+#-]*")
 TOKEN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789@._%+#-")
 WORD = re.compile(r"\w+")
-SIDE = 60
+BETWEEN = re.compile(r"[ \t,.;:)\"']*")
+LONG = 64
 
 
 def luhn(digits: str) -> bool:
@@ -79,7 +83,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         return []
     out = [(a, 0, b) for a, b in emails(text)]
     if "." in text:
-        out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m.groups())]
+        out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p := part.lstrip("0")) < 4 and int(p or "0") <= 255 for part in m.groups())]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14:
             digits = re.sub("[ -]", "", m.group())
@@ -116,15 +120,54 @@ def identifiers(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[i
             yield begin, end
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
-    before = [w.lower() for w in WORD.findall(text[max(0, start - SIDE) : start])][-2:]
-    after = WORD.match(text[end : end + SIDE].lstrip(" \t,.;:)\"'"))
-    out = []
-    if len(before) == 2:
-        out.append(f"{before[0]} {before[1]} _")
-    if before and after:
-        out.append(f"{before[-1]} _ {after.group().lower()}")
-    return out
+def digest(text: str) -> str:
+    return hashlib.blake2b(text.encode(), digest_size=16).hexdigest()
+
+
+class Words:
+    """The words of a text, which also end and begin at the borders of spans, and so never hold two of them."""
+
+    def __init__(self, text: str, spots: list[tuple[int, int, bool]]):
+        self.text, self.start, self.end = text, [], []
+        borders = sorted({x for a, b, _ in spots for x in (a, b)})
+        k = 0
+        for m in WORD.finditer(text):
+            begin, end = m.span()
+            while k < len(borders) and borders[k] <= begin:
+                k += 1
+            while k < len(borders) and borders[k] < end:
+                self.start.append(begin)
+                self.end.append(borders[k])
+                begin = borders[k]
+                k += 1
+            self.start.append(begin)
+            self.end.append(end)
+
+    def word(self, k: int) -> str:
+        own = self.text[self.start[k] : self.end[k]].lower()
+        return own if len(own) <= LONG else "#" + digest(own)
+
+    def contexts(self, start: int, end: int) -> list[str]:
+        """The lexical patterns in which a span stands."""
+        last = bisect_right(self.end, start)  # words before the span
+        before = [self.word(k) for k in range(max(0, last - 2), last)]
+        after = bisect_left(self.start, end)
+        follows = after < len(self.start) and BETWEEN.match(self.text, end, self.start[after]).end() == self.start[after]
+        out = []
+        if len(before) == 2:
+            out.append(f"{before[0]} {before[1]} _")
+        if before and follows:
+            out.append(f"{before[-1]} _ {self.word(after)}")
+        return out
+
+
+def spotted(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, bool, list[str]]]:
+    """Start, end, whether it is a seed, and patterns of each span of ``base`` and of each other identifier."""
+    spots = [(a, b, True) for a, _, b in base] + [(a, b, False) for a, b in identifiers(text, base)]
+    if spots:
+        words = Words(text, spots)
+        for a, b, seed in spots:
+            yield a, b, seed, words.contexts(a, b)
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:
@@ -142,8 +185,7 @@ def scanned(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for part in byte_slices(batch):
                 counts = np.zeros((4, part.num_rows), np.int64)
                 digests, bases, seens = [], [], []
                 for i, text in enumerate(part.column("text").to_pylist()):
@@ -153,11 +195,10 @@ def scanned(docs: DataFrame) -> DataFrame:
                         counts[kind, i] += 1
                     digests.append(hashlib.sha256(written(base).encode()).hexdigest() if base else NOTHING)
                     bases.append([{"start": a, "kind": k, "end": b} for a, k, b in base])
-                    spots = [(a, b, True) for a, _, b in base] + [(a, b, False) for a, b in identifiers(text, base)]
-                    seens.append([{"start": a, "end": b, "seed": seed, "instance": text[a:b][:200].lower(), "patterns": p} for a, b, seed in spots if (p := contexts(text, a, b))])
+                    seens.append([{"start": a, "end": b, "seed": seed, "instance": digest(text[a:b].lower()), "patterns": p} for a, b, seed, p in spotted(text, base) if p])
                 yield pa.record_batch([part.column("doc_id"), *(pa.array(c) for c in counts), pa.array(digests, pa.string()), pa.array(bases, BASE), pa.array(seens, SEEN)], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "seen"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCAN)
+    return map_batches(docs.select("doc_id", "text"), run, SCAN)
 
 
 def confident_patterns(seen: DataFrame, support: int = SUPPORT, rounds: int = ROUNDS, confident: float = CONFIDENT) -> DataFrame:
@@ -167,7 +208,9 @@ def confident_patterns(seen: DataFrame, support: int = SUPPORT, rounds: int = RO
     scores = graph.groupBy("instance").agg(F.max("seed").cast("double").alias("score"))
     trusted = None
     for turn in range(rounds):
-        trusted = graph.join(scores, "instance").groupBy("pattern").agg(F.avg("score").alias("confidence"), F.sum("seed").alias("seeds")).filter(F.col("seeds") >= support).select("pattern", "confidence")
+        known = graph.join(shared_checkpoint(scores), "instance").groupBy("pattern")
+        trusted = known.agg(F.avg("score").alias("confidence"), F.sum("seed").alias("seeds")).filter(F.col("seeds") >= support)
+        trusted = shared_checkpoint(trusted.select("pattern", "confidence"))
         if turn < rounds - 1:
             known = graph.join(trusted, "pattern", "left").groupBy("instance")
             scores = known.agg(F.greatest(F.max("seed"), 1 - F.exp(F.sum(F.log(1 - F.least(F.coalesce("confidence", F.lit(0.0)), F.lit(0.999)))))).alias("score"))
@@ -187,7 +230,8 @@ def extract(docs: DataFrame, **settings) -> DataFrame:
 def redact(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with the personal data of each text replaced by its kind in brackets, and n_chars, where there is such
     a column, counted anew. Confident patterns reach the tasks in blocks of at most ``PATTERNS``: each block adds the
-    places it finds in the original text to a column, and the text is rewritten once, after the last."""
+    places it finds in the original text to a column, which is written before the next one comes, and the text is
+    rewritten once, after the last."""
     seen = scanned(docs).select("seen")
     patterns = shared_checkpoint(confident_patterns(seen, **settings).select("pattern"))
     shares = max(1, -(-patterns.count() // PATTERNS))
@@ -200,45 +244,49 @@ def redact(docs: DataFrame, **settings) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(frozenset(part.toArrow().column("pattern").to_pylist()))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, k=k) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at, count = batch.schema.get_field_index("text"), batch.schema.get_field_index("n_chars")
-                texts, sizes = batch.column(at).to_pylist(), batch.column(count).to_pylist() if count >= 0 else None
-                known = batch.column(len(schema)).to_pylist() if k else [[] for _ in texts]
-                for i, text in enumerate(texts):
-                    if not text:
-                        continue
-                    base = base_spans(text)
-                    before = set(known[i])  # starts of the identifiers that earlier blocks found
-                    tokens = [(a, 4, b) for a, b in identifiers(text, base) if a in before or any(p in shared.value for p in contexts(text, a, b))]
+            for whole in batches:
+                for batch in byte_slices(whole):
+                    at, count = batch.schema.get_field_index("text"), batch.schema.get_field_index("n_chars")
+                    texts, sizes = batch.column(at).to_pylist(), batch.column(count).to_pylist() if count >= 0 else None
+                    known = batch.column(len(schema)).to_pylist() if k else [[] for _ in texts]
+                    for i, text in enumerate(texts):
+                        if not text:
+                            continue
+                        base = base_spans(text)
+                        before = set(known[i])  # starts of the identifiers that earlier blocks found
+                        tokens = [(a, 4, b) for a, b, seed, patterns in spotted(text, base) if not seed and (a in before or any(p in shared.value for p in patterns))]
+                        if k < shares - 1:
+                            known[i] = [a for a, _, _ in tokens]
+                            continue
+                        if spans := sorted(base + tokens):
+                            texts[i] = rewritten(text, spans)
+                            if sizes is not None and sizes[i] is not None:
+                                sizes[i] = len(texts[i])
+                    columns, names = list(batch.columns)[: len(schema)], batch.schema.names[: len(schema)]
                     if k < shares - 1:
-                        known[i] = [a for a, _, _ in tokens]
-                        continue
-                    spans = sorted(base + tokens)
-                    if not spans:
-                        continue
-                    out, last = [], 0
-                    for a, kind, b in spans:
-                        if b > last:
-                            out.append(text[last : max(a, last)])
-                            if a >= last:
-                                out.append(f"[{KINDS[kind].upper()}]")
-                            last = b
-                    texts[i] = "".join(out) + text[last:]
-                    if sizes is not None and sizes[i] is not None:
-                        sizes[i] = len(texts[i])
-                columns, names = list(batch.columns)[: len(schema)], batch.schema.names[: len(schema)]
-                if k < shares - 1:
-                    columns, names = [*columns, pa.array(known, pa.list_(pa.int64()))], [*names, places]
-                else:
-                    columns[at] = pa.array(texts, batch.schema.field(at).type)
-                    if sizes is not None:
-                        columns[count] = pa.array(sizes, batch.schema.field(count).type)
-                yield pa.record_batch(columns, names=names)
-
-        docs = docs.mapInArrow(run, held if k < shares - 1 else schema)
+                        columns, names = [*columns, pa.array(known, pa.list_(pa.int64()))], [*names, places]
+                    else:
+                        columns[at] = pa.array(texts, batch.schema.field(at).type)
+                        if sizes is not None:
+                            columns[count] = pa.array(sizes, batch.schema.field(count).type)
+                    yield pa.record_batch(columns, names=names)
+
+        docs = map_batches(docs if k == 0 else shared_checkpoint(docs), run, held if k < shares - 1 else schema)
     return docs
 
 
+def rewritten(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """The text with each span's kind in its place; of spans that overlap, the first one's."""
+    out, last = [], 0
+    for a, kind, b in spans:
+        if b > last:
+            out.append(text[last : max(a, last)])
+            if a >= last:
+                out.append(f"[{KINDS[kind].upper()}]")
+            last = b
+    return "".join(out) + text[last:]
+
+
 def op4_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract(table(spark, sf_dir, "documents"))
     spans = F.array_sort(F.concat("base", "found"))
