@@ -9,13 +9,18 @@ k symbols. Three tests look at the token's symbols:
 * runs (Wald-Wolfowitz) of symbols in the upper and lower half of the alphabet;
 * serial correlation of neighbouring symbols.
 
-A token of ordinary text has a known excess of chi-squared: the sum of squared shares of its letters (``TEXT_SQUARES``
-for each encoding) is larger than 1/k, and the statistic is about noncentral chi-squared with a noncentrality that
-grows with the length. The p-value is the probability that ordinary text of this length and encoding looks as uniform
-as the token does, by the cube-root approximation. Tokens that the runs or serial test finds ordered, beyond
-``ORDERED`` standard deviations, are no candidates. Then Benjamini-Hochberg at ``FDR`` is applied within each stratum of
-encoding and length (powers of sqrt 2) over the whole corpus, so that many short tokens can't spend the errors of the
-long ones. Ranks come from a histogram of -log10 p in steps of 0.01, whose size is bounded, not from a sort.
+What isn't random is ordinary text or ordered, and both must be ruled out. Ordinary text has a known excess of chi-squared:
+the sum of squared shares of its letters (``TEXT_SQUARES`` for each encoding) is larger than 1/k, so the statistic is about
+noncentral chi-squared with a noncentrality that grows with the length. In an ordered token (an alphabet, a pattern that
+alternates) the squared scores of runs and serial correlation are noncentral too, about ``ORDER`` squared times the length
+each, and their sum has two degrees of freedom; a random token's is central. Each of the two p-values is the probability
+that such a token of this length and encoding looks as random as this one does, by Sankaran's approximation; the battery's
+is the larger of the two. Then Benjamini-Hochberg at ``FDR`` is applied within each stratum of encoding and length (powers
+of sqrt 2) over the whole corpus, so that many short tokens can't spend the errors of the long ones. Ranks come from a
+histogram of -log10 p in steps of 0.01, whose size is bounded, not from a sort.
+
+Places of matches, and what lies before and after a span, are running sums, maxima and minima over blocks (``running``):
+no array of a text's matches is copied for each match.
 
 Spans are kind:start:end in code points, the end exclusive; found tokens have the kind ``random`` and are left out
 where they overlap a base span. A null text is an empty one and has no spans; repeated rows are scanned alike; columns
@@ -37,7 +42,9 @@ HEX = r"[0-9a-f]{32,}"
 TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 KINDS = ("assign", "access", "hex", "random")
 FDR = 0.001
-ORDERED = 4.0
+ORDER = 0.9
+#: Values in a block of a running combination, and levels of blocks; at three, the last has 4096 at most for any text.
+STEP, LEVELS = 256, 3
 #: Name, pattern of the whole token, alphabet. The first that fits is the encoding.
 ENCODINGS = (
     ("hex", r"^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
@@ -49,22 +56,52 @@ ENCODINGS = (
 TEXT_SQUARES = {"hex": 0.1, "base32": 0.066, "alnum": 0.066, "base64": 0.062}
 
 
+def running(values: Column, join, levels: int = LEVELS) -> Column:
+    """The array whose places hold ``join`` of all values up to there; ``join`` is associative. Arrays are cut into
+    blocks of ``STEP`` values, whose totals are combined in the same way, so a block is all that is copied for a value."""
+
+    def of_block(block: Column) -> Column:
+        add = lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x).otherwise(join(F.element_at(acc, -1), x))))
+        return F.aggregate(block, F.array().cast("array<int>"), add)
+
+    def of_blocks(v: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.size(v), F.lit(STEP)), lambda i: of_block(F.slice(v, i, STEP)))
+
+        def joined(parts: Column) -> Column:
+            before = running(F.transform(parts, lambda p: F.element_at(p, -1)), join, levels - 1)
+            later = lambda p, t: F.transform(p, lambda x: join(t, x))
+            return F.concat(parts[0], F.flatten(F.zip_with(F.slice(parts, F.lit(2), F.size(parts)), F.slice(before, F.lit(1), F.size(parts) - 1), later)))
+
+        return F.transform(F.array(cut), joined)[0]
+
+    if levels == 1:
+        return of_block(values)
+    return F.transform(F.array(values), lambda v: F.when(F.size(v) <= STEP, of_block(v)).otherwise(of_blocks(v)))[0]
+
+
+NO_SPANS = "array<struct<start:int,kind:int,end:int,match:string>>"
+
+
 def spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
     """array<struct<start, kind, end, match>> of all matches of ``pattern``, leftmost first, that ``keep`` holds for."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    sizes = F.arrays_zip(F.transform(between, F.length).alias("gap"), found.alias("hit"))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,match:string>>").alias("out"))
+    steps = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda hit, gap: F.length(gap) + F.length(hit))
+    placed = F.zip_with(found, running(steps, lambda a, b: a + b), lambda hit, end: F.struct((end - F.length(hit)).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), hit.alias("match")))
+    good = placed if keep is None else F.filter(placed, lambda s: keep(s["match"]))
+    return F.when(text.rlike(pattern), good).otherwise(F.array().cast(NO_SPANS))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["hit"])
-        own = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["hit"].alias("match"))
-        good = x["hit"].isNotNull() if keep is None else x["hit"].isNotNull() & keep(x["hit"])
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(good, F.concat(acc["out"], F.array(own))).otherwise(acc["out"]).alias("out"))
 
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,match:string>>")
-    return F.when(text.rlike(pattern), F.aggregate(sizes, begin, step, lambda acc: acc["out"])).otherwise(none)
+def untouched(tokens: Column, base: Column) -> Column:
+    """The tokens that no base span overlaps. In the order of all spans, the largest end of the base spans so far and
+    the least start of those to come tell."""
+    every = F.array_sort(F.concat(base, tokens))
+    is_base = lambda s: s["kind"] < 3
+    ends = running(F.transform(every, lambda s: F.when(is_base(s), s["end"]).otherwise(-1)), lambda a, b: F.greatest(a, b))
+    starts = F.reverse(running(F.reverse(F.transform(every, lambda s: F.when(is_base(s), s["start"]).otherwise((1 << 31) - 1))), lambda a, b: F.least(a, b)))
+    told = F.arrays_zip(every.alias("span"), ends.alias("before"), starts.alias("next"))
+    free = F.filter(told, lambda t: ~is_base(t["span"]) & (t["before"] <= t["span"]["start"]) & (t["next"] >= t["span"]["end"]))
+    return F.when((F.size(base) == 0) | (F.size(tokens) == 0), tokens).otherwise(F.transform(free, lambda t: t["span"]))
 
 
 def base_spans(text: Column) -> list[Column]:
@@ -94,8 +131,8 @@ def symbols(token: Column, name: Column) -> Column:
 
 
 def statistics(tokens: Column) -> Column:
-    """From (start, kind, end, match): array of structs of encoding, size, chi (chi-squared), runs and serial
-    (standard scores), with the place of the token."""
+    """From (start, kind, end, match): array of structs of encoding, size, chi (chi-squared) and order (the sum of the
+    squared scores of runs and serial correlation), with the place of the token."""
     x = F.transform(tokens, lambda t: F.struct(t["start"].alias("start"), t["kind"].alias("kind"), t["end"].alias("end"), t["match"].alias("match"), encoding(t["match"]).alias("encoding")))
     x = F.transform(
         x,
@@ -140,7 +177,7 @@ def statistics(tokens: Column) -> Column:
             ).alias("lagged"),
         ),
     )
-    return F.transform(
+    x = F.transform(
         x,
         lambda t: F.struct(
             *(t[c].alias(c) for c in ("start", "kind", "end", "encoding", "size", "chi")),
@@ -148,6 +185,7 @@ def statistics(tokens: Column) -> Column:
             F.when(t["spread"] > 1e-9, t["lagged"] / t["spread"] * F.sqrt(t["size"])).otherwise(F.lit(99.0)).alias("serial"),
         ),
     )
+    return F.transform(x, lambda t: F.struct(*(t[c].alias(c) for c in ("start", "kind", "end", "encoding", "size")), F.greatest(t["chi"], F.lit(0.0)).alias("chi"), (t["runs"] * t["runs"] + t["serial"] * t["serial"]).alias("order")))
 
 
 def upper_half(t: Column) -> Column:
@@ -166,39 +204,34 @@ def upper_tail(z: Column) -> Column:
 
 
 def surprises(tested: Column) -> Column:
-    """From ``statistics``: start, kind, end, stratum and step, which is 100 * -log10 p. p says how seldom ordinary text
-    of this length and encoding is as uniform, by Sankaran's approximation of the noncentral chi-squared."""
-    x = F.transform(
-        tested,
-        lambda t: F.struct(
-            *(t[c].alias(c) for c in ("start", "kind", "end", "encoding", "size", "chi")),
-            by_encoding(t["encoding"], {n: len(a) - 1.0 for n, _, a in ENCODINGS}).alias("df"),
-            (t["size"] * by_encoding(t["encoding"], {n: max(len(a) * TEXT_SQUARES[n] - 1, 0.0) for n, _, a in ENCODINGS})).alias("excess"),
-        ),
-    )
-    x = F.transform(
+    """From ``statistics``: start, kind, end, stratum and step, which is 100 * -log10 of the battery's p."""
+    own = ("start", "kind", "end", "encoding", "size")
+
+    def for_tests(x: Column, change) -> Column:
+        return F.transform(x, lambda t: F.struct(*(t[c].alias(c) for c in own), F.transform(t["tests"], change).alias("tests")))
+
+    excess = lambda t: t["size"] * by_encoding(t["encoding"], {n: max(len(a) * TEXT_SQUARES[n] - 1, 0.0) for n, _, a in ENCODINGS})
+    degrees = lambda t: by_encoding(t["encoding"], {n: len(a) - 1.0 for n, _, a in ENCODINGS})
+    test = lambda x, df, excess: F.struct(x.alias("x"), df.alias("df"), excess.alias("excess"))
+    both = lambda t: F.array(test(t["chi"], degrees(t), excess(t)), test(t["order"], F.lit(2.0), t["size"] * (2 * ORDER**2)))
+    x = F.transform(tested, lambda t: F.struct(*(t[c].alias(c) for c in own), both(t).alias("tests")))
+    x = for_tests(
         x,
-        lambda t: F.struct(
-            *(t[c].alias(c) for c in ("start", "kind", "end", "encoding", "size")),
-            (F.greatest(t["chi"], F.lit(0.0)) / (t["df"] + t["excess"])).alias("ratio"),
-            (1 - 2 * (t["df"] + t["excess"]) * (t["df"] + 3 * t["excess"]) / (3 * F.pow(t["df"] + 2 * t["excess"], F.lit(2.0)))).alias("h"),
-            ((t["df"] + 2 * t["excess"]) / F.pow(t["df"] + t["excess"], F.lit(2.0))).alias("p"),
-        ),
-    )
-    x = F.transform(x, lambda t: F.struct(*(t[c].alias(c) for c in ("start", "kind", "end", "encoding", "size", "ratio", "h", "p")), ((t["h"] - 1) * (1 - 3 * t["h"])).alias("m")))
-    x = F.transform(
-        x,
-        lambda t: F.struct(
-            *(t[c].alias(c) for c in ("start", "kind", "end", "encoding", "size")),
-            ((F.pow(t["ratio"], t["h"]) - (1 + t["h"] * t["p"] * (t["h"] - 1 - 0.5 * (2 - t["h"]) * t["m"] * t["p"]))) / (t["h"] * F.sqrt(2 * t["p"]) * (1 + 0.5 * t["m"] * t["p"]))).alias("z"),
+        lambda u: F.struct(
+            (u["x"] / (u["df"] + u["excess"])).alias("ratio"),
+            (1 - 2 * (u["df"] + u["excess"]) * (u["df"] + 3 * u["excess"]) / (3 * F.pow(u["df"] + 2 * u["excess"], F.lit(2.0)))).alias("h"),
+            ((u["df"] + 2 * u["excess"]) / F.pow(u["df"] + u["excess"], F.lit(2.0))).alias("p"),
         ),
     )
+    x = for_tests(x, lambda u: F.struct(*(u[c].alias(c) for c in ("ratio", "h", "p")), ((u["h"] - 1) * (1 - 3 * u["h"])).alias("m")))
+    z = lambda u: (F.pow(u["ratio"], u["h"]) - (1 + u["h"] * u["p"] * (u["h"] - 1 - 0.5 * (2 - u["h"]) * u["m"] * u["p"]))) / (u["h"] * F.sqrt(2 * u["p"]) * (1 + 0.5 * u["m"] * u["p"]))
+    x = for_tests(x, lambda u: -z(u))
     return F.transform(
         x,
         lambda t: F.struct(
             *(t[c].alias(c) for c in ("start", "kind", "end")),
             F.concat(t["encoding"], F.lit(":"), F.floor(2 * F.log2(t["size"])).cast("string")).alias("stratum"),
-            F.least(F.floor(upper_tail(-t["z"]) * 100), F.lit(30_000)).cast("int").alias("step"),
+            F.least(F.floor(upper_tail(F.array_min(t["tests"])) * 100), F.lit(30_000)).cast("int").alias("step"),
         ),
     )
 
@@ -209,9 +242,8 @@ def scanned(docs: DataFrame) -> DataFrame:
     out = docs.select("doc_id", *(c.alias(k) for c, k in zip(base_spans(text), KINDS)), spans(text, TOKEN, 3).alias("tokens"))
     base = F.array_sort(F.concat(*KINDS[:3]))
     out = out.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]), base.alias("base"), "tokens")
-    free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    drawn = F.filter(statistics(free), lambda t: (F.abs(t["runs"]) <= ORDERED) & (F.abs(t["serial"]) <= ORDERED))
-    tested = F.when(F.size("tokens") > 0, surprises(drawn)).otherwise(F.array())
+    out = out.withColumn("free", untouched(F.col("tokens"), F.col("base")))
+    tested = F.when(F.size("free") > 0, surprises(statistics(F.col("free")))).otherwise(F.array())
     bare = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end")))
     return out.select("doc_id", "n_assign", "n_access", "n_hex", bare.alias("base"), tested.alias("tested"))
 
