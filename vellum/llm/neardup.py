@@ -26,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import U64, bounds, chunks, mix, shared_checkpoint, shingles, table, word_hashes
+from vellum.llm.common import U64, bounds, chunks, map_batches, mix, shared_checkpoint, shingles, table, word_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -91,11 +91,12 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int = WORDS) -> DataFr
                         fp[r], hashes[r] = prints[k].tobytes(), folded[k].tobytes()
                 yield pa.record_batch([batch.column("doc_id").slice(lo, count), batch.column("key").slice(lo, count), pa.array(fp, pa.binary()), pa.array(hashes, pa.binary())], names=["doc_id", "key", "fp", "bands"])
 
-    return docs.select("doc_id", "text", text_key().alias("key")).mapInArrow(run, "doc_id long, key long, fp binary, bands binary")
+    return map_batches(docs.select("doc_id", "text", text_key().alias("key")), run, "doc_id long, key binary, fp binary, bands binary")
 
 
 def text_key() -> F.Column:
-    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    """128 bits for each different text, so that even among very many no two share a key."""
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
 
 
 def sets_of(docs: DataFrame, n: int = WORDS) -> DataFrame:
@@ -112,7 +113,7 @@ def sets_of(docs: DataFrame, n: int = WORDS) -> DataFrame:
                     sets = [x.tobytes() for x in np.split(s, first[1:])]
                 yield pa.record_batch([pa.array(fp, pa.binary()), pa.array(sets, pa.binary())], names=["fp", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "fp binary, shingles binary").dropDuplicates(["fp"])
+    return map_batches(docs.select("text"), run, "fp binary, shingles binary").dropDuplicates(["fp"])
 
 
 def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -186,7 +187,10 @@ def verifier(bands: int, similarity: float):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """u, v: the least node v of the component of each node u but the least. ``edges``: u, v."""
+    """u, v: the least node v of the component of each node u but the least. ``edges``: u, v.
+
+    Least neighbours are written before they are joined, so that the join stands on two plain exchanges and adaptive
+    execution can split a centre of very many edges."""
     edges = shared_checkpoint(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
     while True:
@@ -195,9 +199,10 @@ def components(edges: DataFrame) -> DataFrame:
             return edges
         state = now
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
+        least = shared_checkpoint(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = shared_checkpoint(large)
+        least = shared_checkpoint(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").filter("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
         edges = shared_checkpoint(small.distinct())
 
@@ -228,7 +233,7 @@ def links_of(docs: DataFrame, classes: DataFrame, bands: int, similarity: float,
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, n: int = WORDS, block: int = BLOCK) -> DataFrame:
-    """doc_id, key (hash of the text), fp, group, class_id, copy_id, n_links: a row for each document."""
+    """doc_id, key (of the text), fp, group, class_id, copy_id, n_links: a row for each document."""
     bands, rows = plan_bands(similarity, recall)
     docs = docs.select("doc_id", "text")
     signed = shared_checkpoint(signatures(docs, bands, rows, n))
@@ -256,8 +261,7 @@ def one_of_each(docs: DataFrame, **settings) -> DataFrame:
     best = best.select(F.col("best.doc_id").alias("keep_id"), F.col("best.key").alias("keep_key")).distinct()
     marked = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), text_key().alias("own_key"), word_like().alias("whole"))
     stay = marked.filter("whole").join(best, F.col("own_id").eqNullSafe(F.col("keep_id")) & (F.col("own_key") == F.col("keep_key")))
-    first = F.row_number().over(Window.partitionBy("own_id", "own_key").orderBy("own_key"))
-    stay = stay.withColumn("nth", first).filter("nth = 1").select("row.*")
+    stay = stay.groupBy("own_id", "own_key").agg(F.first("row").alias("row")).select("row.*")  # of rows with the same id and text
     return stay.unionAll(marked.filter("not whole").select("row.*"))
 
 
