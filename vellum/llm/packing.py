@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import CHUNK, U64, shared_checkpoint, span_hash, table
+from vellum.llm.common import CHUNK, U64, map_batches, shared_checkpoint, span_hash, table
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -41,7 +41,7 @@ class WordTokenizer:
     points; ids of words already met are kept as sorted arrays, at most ``keep`` words.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -152,7 +152,7 @@ def cut_texts(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
                 yield pa.record_batch([doc_ids.take(pa.array(which, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
                 row = end
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return map_batches(docs.select("doc_id", "text"), run, PIECES)
 
 
 def fillings(residual: int, longest: np.ndarray, count: np.ndarray, nodes: int = 20_000) -> list[int]:
@@ -377,7 +377,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
     before = here.select("length", "part", (F.sum("count").over(Window.partitionBy("length").orderBy("part")) - F.col("count")).alias("before"))
     ranked = pieces.withColumn("own", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")))
     ranked = ranked.join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("own") - 1)
-    return ranked.mapInArrow(run, PIECES + ", sequence_id long, offset long")
+    return map_batches(ranked, run, PIECES + ", sequence_id long, offset long")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
