@@ -8,8 +8,8 @@ tanh; a two-level softmax gives the class of the word (one of ``CLASSES``) and t
    buckets get ids of their own, the others share the last ``SHARED`` ids. Counts also set the softmax's biases.
 2. ``ROUNDS`` times every partition trains a copy of the network in numpy (Adagrad) on its own documents, at every
    ``ROUNDS``-th word beginning at a place that differs by document and moves on with the round, so that every word of
-   every document is trained at exactly once; copies are averaged, weighted by the words they saw, in two levels of groups so
-   that no task gets all of them. The network's size is fixed, and what is gathered grows with the corpus.
+   every document is trained at exactly once; copies are averaged, weighted by the words they saw, in levels of groups of
+   ``FAN_IN`` copies at most. The network's size is fixed, and what is gathered grows with the corpus.
 3. All words of all documents are scored on the executors: the network's probability of the word's id times the share
    of the word's bucket in that id.
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import bounds, chunks, shared_checkpoint, table, word_hashes
+from vellum.llm.common import bounds, chunks, map_batches, shared_checkpoint, table, word_hashes
 
 BUCKETS = 1 << 16
 CLASSES = 64
@@ -40,6 +40,7 @@ ROUNDS = 2
 BATCH = 1024
 SLICE = 8192
 RATE = 0.15
+FAN_IN = 64
 
 
 def word_buckets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +59,7 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.record_batch([pa.array(some), pa.array(total[some])], names=["bucket", "words"])
 
-    found = docs.select("text").mapInArrow(run, "bucket long, words long").groupBy("bucket").agg(F.sum("words").alias("words")).toArrow()
+    found = map_batches(docs.select("text"), run, "bucket long, words long").groupBy("bucket").agg(F.sum("words").alias("words")).toArrow()
     out = np.zeros(BUCKETS, np.int64)
     out[found.column("bucket").to_numpy()] = found.column("words").to_numpy()
     return out
@@ -216,18 +217,24 @@ def trained_copies(docs: DataFrame, start: np.ndarray, v: Vocabulary, turn: int)
             slices = [x[lo : lo + SLICE] for lo in range(0, len(x), SLICE)]
             yield pa.record_batch([pa.array([TaskContext.get().partitionId()] * len(slices), pa.int32()), pa.array(range(len(slices)), pa.int32()), pa.array([float(words)] * len(slices)), pa.array([s.astype("<f4").tobytes() for s in slices], pa.binary())], names=["part", "slice", "words", "values"])
 
-    return docs.select("text").mapInArrow(run, "part int, slice int, words double, values binary")
+    return map_batches(docs.select("text"), run, "part int, slice int, words double, values binary")
 
 
-def averaged(copies: DataFrame) -> np.ndarray | None:
+def averaged(copies: DataFrame, fan_in: int = FAN_IN) -> np.ndarray | None:
+    """The parameters' mean over all copies, by levels of groups of ``fan_in`` copies at most of a slice."""
+
     def mean(rows: pd.DataFrame) -> pd.DataFrame:
         words = rows["words"].sum()
         total = sum(np.frombuffer(x, "<f4").astype(np.float64) * w for x, w in zip(rows["values"], rows["words"]))
-        return pd.DataFrame({"part": [0], "slice": [rows["slice"].iloc[0]], "words": [words], "values": [(total / words).astype("<f4").tobytes()]})
+        return pd.DataFrame({"part": [rows["part"].min() // fan_in], "slice": [rows["slice"].iloc[0]], "words": [words], "values": [(total / words).astype("<f4").tobytes()]}).astype({"part": "int32"})
 
     schema = "part int, slice int, words double, values binary"
-    some = copies.groupBy("slice", (F.col("part") / 64).cast("int").alias("share")).applyInPandas(mean, schema)
-    rows = some.groupBy("slice").applyInPandas(mean, schema).toArrow().sort_by("slice")  # the parameters, once
+    left = (copies.agg(F.max("part")).first()[0] or 0) + 1
+    while True:
+        copies = copies.groupBy("slice", F.floor(F.col("part") / fan_in).alias("share")).applyInPandas(mean, schema)
+        if (left := -(-left // fan_in)) == 1:
+            break
+    rows = copies.toArrow().sort_by("slice")  # the parameters, once
     return np.concatenate([np.frombuffer(x, "<f4") for x in rows.column("values").to_pylist()]) if rows.num_rows else None
 
 
@@ -259,7 +266,7 @@ def score(docs: DataFrame, model: tuple[dict[str, np.ndarray], Vocabulary]) -> D
                 mean = pa.array(total / np.maximum(words, 1), pa.float64(), mask=words == 0)
                 yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), pa.array(total, pa.float64()), pa.array(words, pa.int64()), mean], names=["doc_id", "log_prob", "n_words", "mean_log_prob"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, log_prob double, n_words long, mean_log_prob double")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, log_prob double, n_words long, mean_log_prob double")
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
