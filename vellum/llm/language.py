@@ -3,7 +3,7 @@
 The subwords of a text are its words and their runs of 2 to 4 bytes, with a mark at either end of a word, hashed into
 2**BITS buckets. The text's vector is the average of its subwords' embeddings; a linear softmax over it gives the
 language. Embeddings and softmax are trained together by stochastic gradient descent in numpy on a bounded sample of
-documents with a language (``SAMPLE`` rows, a parameter). A tenth of the sample is set aside to calibrate: a
+documents with a language (``SAMPLE`` rows and ``SAMPLE_CHARS`` characters at most, parameters). A tenth of the sample is set aside to calibrate: a
 temperature for the softmax, and the threshold under which a prediction is rejected (``accepted`` false), chosen so
 that at most ``MISSES`` of the right predictions are rejected.
 
@@ -22,9 +22,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import U64, bounds, chunks, mix, span_hash, table, word_spans
+from vellum.llm.common import U64, bounds, chunks, labelled_sample, map_batches, mix, span_hash, table, word_spans
 
 SAMPLE = 4000
+SAMPLE_CHARS = 16_000_000
 BITS = 16
 WIDTH = 16
 MISSES = 0.01
@@ -64,7 +65,7 @@ def histograms(docs: DataFrame) -> tuple[list[tuple[np.ndarray, np.ndarray]], li
                 blobs = [np.stack([pair[a:b] & ((1 << BITS) - 1), count[a:b]]).astype("<i4").tobytes() for a, b in zip(at[:-1], at[1:])]
                 yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), batch.column("lang").slice(lo, hi - lo), pa.array(blobs, pa.binary())], names=["doc_id", "lang", "bag"])
 
-    found = docs.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, bag binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    found = map_batches(docs.select("doc_id", "text", "lang"), run, "doc_id long, lang string, bag binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
     parts = [np.frombuffer(b, "<i4").reshape(2, -1) for b in found.column("bag").to_pylist()]
     return [(p[0], p[1]) for p in parts], found.column("lang").to_pylist()
 
@@ -128,12 +129,12 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray, flo
                 score = np.where(told, p[np.arange(n), top], 0.0)
                 yield pa.record_batch([batch.column("doc_id").slice(lo, n), pa.array(np.where(told, known[top], "und").tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(told & (score >= least))], names=["doc_id", "lang_pred", "score", "accepted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double, accepted boolean")
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
-    ids = docs.filter((fold != 1) & F.col("lang").isNotNull()).groupBy("doc_id").agg(F.min("lang").alias("lang")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    model = train(*histograms(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")))
+    sample = labelled_sample(docs, docs.select("doc_id", F.col("lang").alias("y")), fold != 1, SAMPLE, SAMPLE_CHARS)
+    model = train(*histograms(sample.withColumnRenamed("y", "lang")))
     return predict(docs, model).select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")

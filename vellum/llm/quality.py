@@ -5,7 +5,7 @@ byte and of other bytes, its mean word length, its share of words met before in
 before in the document. A layer of ``HIDDEN`` tanh units gives the passage's representation h; gated attention
 a = softmax(w . (tanh(V h) * sigmoid(U h))) weighs the passages; the document's score is sigmoid(c . sum(a h) + b).
 Everything is trained from document labels by Adam in numpy on a bounded sample of labelled documents (``SAMPLE``
-rows, a parameter). Every whole text of the corpus is scored on the executors.
+rows and ``SAMPLE_CHARS`` characters at most, parameters), which bounds what the driver gets. Every whole text of the corpus is scored on the executors.
 
 An empty or null text, or one without words, is one passage of no shares. With no label of either class to learn from,
 every score is the share of label 1 (1 if there are no labels, so that nothing is rejected). Repeated rows are scored
@@ -21,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import U64, bounds, chunks, labelled_sample, mix, sigmoid, span_hash, table, word_spans
+from vellum.llm.common import U64, bounds, chunks, labelled_sample, map_batches, mix, sigmoid, span_hash, table, word_spans
 
 SAMPLE = 6000
+SAMPLE_CHARS = 32_000_000
 WORDS = 100
 HIDDEN = 24
 GATES = 12
@@ -79,7 +80,7 @@ def encoded(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 blobs = [x[a:b].astype("<f4").tobytes() for a, b in zip(at[:-1], at[1:])]
                 yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), batch.column("y").slice(lo, hi - lo).cast(pa.int32()), pa.array(blobs, pa.binary())], names=["doc_id", "y", "bag"])
 
-    found = docs.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, bag binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    found = map_batches(docs.select("doc_id", "text", "y"), run, "doc_id long, y int, bag binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
     parts = [np.frombuffer(b, "<f4").reshape(-1, FEATURES) for b in found.column("bag").to_pylist()]
     return np.concatenate(parts) if parts else np.zeros((0, FEATURES), np.float32), np.cumsum([0, *map(len, parts)]), found.column("y").to_numpy()
 
@@ -130,9 +131,10 @@ def train(x: np.ndarray, at: np.ndarray, y: np.ndarray, epochs: int = 30, batch:
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray] | float, keep: bool = False) -> DataFrame:
-    """doc_id and score; with ``keep`` all columns of ``docs`` and the score last, in the column ``quality_score``."""
+    """doc_id and score; with ``keep`` all columns of ``docs`` and the score last, in the column ``quality_score``, which
+    takes the place of one of that name."""
     schema, name = ("doc_id long", "score") if not keep else (None, "quality_score")
-    docs = docs if keep else docs.select("doc_id", "text")
+    docs = docs.drop(name) if keep else docs.select("doc_id", "text")
     if keep:
         from pyspark.sql import types as T
 
@@ -151,11 +153,11 @@ def score(docs: DataFrame, model: dict[str, np.ndarray] | float, keep: bool = Fa
             names = batch.schema.names if keep else ["doc_id"]
             yield pa.record_batch([*columns, pa.array(scores, pa.float64())], names=[*names, name])
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
-def learned(docs: DataFrame, labels: DataFrame, learn: F.Column, rows: int = SAMPLE) -> dict[str, np.ndarray] | float:
-    return train(*encoded(labelled_sample(docs, labels.select("doc_id", F.col("quality").alias("y")), learn, rows)))
+def learned(docs: DataFrame, labels: DataFrame, learn: F.Column, rows: int = SAMPLE, size: int = SAMPLE_CHARS) -> dict[str, np.ndarray] | float:
+    return train(*encoded(labelled_sample(docs, labels.select("doc_id", F.col("quality").alias("y")), learn, rows, size)))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

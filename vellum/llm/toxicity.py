@@ -3,7 +3,7 @@
 A document is a bag of sentences. A sentence has the probability sigmoid(b + sum of the weights of its different
 words and word beginnings), all hashed; a document is toxic with probability 1 - product(1 - p), the noisy-or. The weights are
 trained from document labels alone by gradient steps (Adam) in numpy on a bounded sample of labelled documents
-(``SAMPLE`` rows, a parameter); every whole text of the corpus is then scored on the executors, and the sentence with
+(``SAMPLE`` rows and ``SAMPLE_CHARS`` characters at most, parameters); every whole text of the corpus is then scored on the executors, and the sentence with
 the highest probability is given with its place in bytes of the UTF-8 text.
 
 An empty or null text has no sentence and the score 0. A text without labels is scored like any other. With no label
@@ -20,9 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import bounds, chunks, labelled_sample, shared_checkpoint, sigmoid, span_hash, table, word_spans
+from vellum.llm.common import bounds, chunks, labelled_sample, map_batches, shared_checkpoint, sigmoid, span_hash, table, word_spans
 
 SAMPLE = 4000
+SAMPLE_CHARS = 16_000_000
 BITS = 18
 STEMS = (5, 6, 7)  # bytes at the beginning of a word that are hashed besides the word
 RARE = 0.003
@@ -59,7 +60,7 @@ def per_document(run_on: DataFrame, schema: str, fold) -> DataFrame:
                 blobs = [fold(sentence[a:b] - sentence[a] if b > a else sentence[a:b], bucket[a:b]) for a, b in zip(at[:-1], at[1:])]
                 yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), batch.column("y").slice(lo, hi - lo).cast(pa.int32()), pa.array(blobs, pa.list_(pa.int32()) if "array" in schema else pa.binary())], names=["doc_id", "y", "bag"])
 
-    return run_on.mapInArrow(run, schema)
+    return map_batches(run_on, run, schema)
 
 
 def bags(docs: DataFrame) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -138,12 +139,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, float]) -> DataFrame:
                     scores[:] = base
                 yield pa.record_batch([batch.column("doc_id").slice(lo, n), pa.array(scores, pa.float64()), pa.array(worst, pa.float64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["doc_id", "score", "worst_score", "worst_start", "worst_end"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, worst_score double, worst_start long, worst_end long")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, score double, worst_score double, worst_start long, worst_end long")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     label = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("y"))
-    model = train(*bags(labelled_sample(docs, label, fold != 0, SAMPLE)))
+    model = train(*bags(labelled_sample(docs, label, fold != 0, SAMPLE, SAMPLE_CHARS)))
     return score(docs, model).select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "worst_score", "worst_start", "worst_end")
