@@ -3,14 +3,13 @@ but for the last, which returns the packed sequences."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import decontamination, neardup, packing, private, quality
-from vellum.llm.common import table
+from vellum.llm.common import shared_folder, table
 
 #: Labels of these documents are never learned from, so that the classifier can be judged on them.
 HELD_OUT = 2
@@ -58,11 +57,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each stage's result written as Parquet in the shared folder and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each stage's result written as Parquet in the shared folder and read again. What a
+    stage has read is removed when its own result is written."""
+    folder = f"{shared_folder(spark, 'pipeline')}/pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = f"{folder}/pipeline-{uuid.uuid4().hex}/{name}"
+        path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
