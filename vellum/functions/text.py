@@ -1,4 +1,8 @@
-"""Text expressions with one meaning everywhere: Unicode white space, lines, tokens, hashes, names."""
+"""Text expressions with one meaning everywhere: Unicode white space, lines, tokens, hashes, names.
+
+Patterns here and in the operators take work in proportion to the text, whatever it holds: repetitions are of single
+classes, possessive where nothing can be given back, and begin only where a run begins.
+"""
 
 from __future__ import annotations
 
@@ -11,16 +15,17 @@ from pyspark.sql.types import StringType
 
 #: All white space of Unicode, which trim() and \s of Java don't cover.
 WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+WS_IN = WS[1:-1]  # for use inside a class
 BREAK = r"(?:\r\n|[\n-\r\x1c-\x1e\x85\u2028\u2029])"
 WORD = r"[\p{L}\p{N}_]"
 
 
 def strip_ws(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{WS}+|{WS}+\z", "")
+    return F.regexp_replace(c, rf"\A{WS}++|(?<!{WS}){WS}++\z", "")
 
 
 def rstrip_ws(c: Column) -> Column:
-    return F.regexp_replace(c, rf"{WS}+\z", "")
+    return F.regexp_replace(c, rf"(?<!{WS}){WS}++\z", "")
 
 
 def collapse_ws(c: Column) -> Column:
@@ -75,7 +80,7 @@ def unaccented(s: pd.Series) -> pd.Series:
 
 def plain_name(c: Column) -> Column:
     """Lower case, without accents, separators as single spaces. Names of ASCII only skip the Python step's work."""
-    return strip_ws(F.regexp_replace(F.lower(unaccented(c)), r"(?:[_\-.]|" + WS + ")+", " "))
+    return strip_ws(F.regexp_replace(F.lower(unaccented(c)), rf"[_\-.{WS_IN}]++", " "))
 
 
 def replace_each(c: Column, pattern: str, change) -> Column:

@@ -11,7 +11,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate, groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +24,7 @@ from vellum.operators import units as U
 CHARS = 4
 TARGET, OVERLAP, MIN_SECTION, MIN_CHUNK = 800, 100, 100, 20
 MAX_TITLE = 150
-HEADING = rf"\A(#{{1,6}}){T.WS}+(.+?){T.WS}*#*{T.WS}*\z"
+HEADING = rf"\A(#{{1,6}}){T.WS}++(.*+)\z"
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+(?=[A-ZÁÉÍÓÚÑ¿¡0-9\"(])")
 TABLE_RULE = re.compile(r"\|[\s:|-]+\|?")
 BLOCK = "doc_id long, block_no int, kind string, text string, page int, path array<string>, level int"
@@ -38,6 +38,15 @@ def header_fields(header: Column) -> Column:
     return F.map_from_entries(F.transform(F.filter(pairs, lambda p: p["k"] != ""), lambda p: F.struct(p["k"].alias("k"), value(p["v"]).alias("v"))))
 
 
+def heading_title(line: Column) -> Column:
+    """The text of a heading without white space and a closing run of # behind it; empty if the line is none. One
+    character stays in any case, be it white space in a heading of nothing else."""
+    body = F.regexp_extract(line, HEADING, 2)
+    bare = T.rstrip_ws(F.regexp_replace(T.rstrip_ws(F.substring(body, F.lit(2), F.length(body))), r"(?<!#)#++\z", ""))
+    blank = F.right(F.regexp_extract(line, rf"\A#{{1,6}}{T.WS}({T.WS}++)\z", 1), F.lit(1))
+    return F.when(~line.startswith("#"), F.lit("")).when(body != "", F.concat(F.left(body, F.lit(1)), bare)).otherwise(blank)
+
+
 def blocks(docs: DataFrame) -> DataFrame:
     """BLOCK's columns from doc_id and markdown. A page mark, a blank line, a heading or a change between paragraph and
     table closes a block; a heading closes the headings of its level and below."""
@@ -45,15 +54,15 @@ def blocks(docs: DataFrame) -> DataFrame:
     lines = docs.select("doc_id", F.posexplode(T.split_lines(body)).alias("n", "line"))
     line = F.col("line")
     mark = F.regexp_extract(T.strip_ws(line), rf"\A{C.PAGE_MARK_PATTERN}\z", 1)
-    title = F.regexp_extract(line, HEADING, 2)
+    title = heading_title(line)
     kind = (
         F.when(mark != "", "mark")
         .when(T.strip_ws(line) == "", "blank")
         .when((title != "") & (F.length(title) <= MAX_TITLE), "titulo")
-        .when(line.rlike(rf"\A{T.WS}*\|"), "tabla")
+        .when(line.rlike(rf"\A{T.WS}*+\|"), "tabla")
         .otherwise("parrafo")
     )
-    df = lines.select("doc_id", "n", "line", kind.alias("kind"), F.when(mark != "", mark.cast("int")).alias("mark"), F.length(F.regexp_extract(line, HEADING, 1)).alias("level"), F.regexp_replace(title, r"\A[*_ ]+|[*_ ]+\z", "").alias("title"))
+    df = lines.select("doc_id", "n", "line", kind.alias("kind"), F.when(mark != "", mark.cast("int")).alias("mark"), F.length(F.regexp_extract(line, HEADING, 1)).alias("level"), F.regexp_replace(title, r"\A[*_ ]++|(?<![*_ ])[*_ ]++\z", "").alias("title"))
     order = Window.partitionBy("doc_id").orderBy("n")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumns({"page": F.last("mark", ignorenulls=True).over(so_far), "before": F.lag("kind").over(order)})
@@ -174,20 +183,22 @@ def packed(found: list[tuple]) -> Iterator[list[tuple]]:
 FOLD = "doc_id long, chunk_no int, text string, path array<string>, first_page int, last_page int"
 
 
+FOLD_ARROW = pa.schema([("doc_id", pa.int64()), ("chunk_no", pa.int32()), ("text", pa.string()), ("path", pa.list_(pa.string())), ("first_page", pa.int32()), ("last_page", pa.int32())])
+
+
 def chunk_fold(found: DataFrame) -> DataFrame:
     """FOLD's columns from blocks; a document's blocks meet in one task."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("block_no")
-        own = [(k, t, None if pd.isna(p) else int(p), [] if path is None else list(path)) for k, t, p, path in zip(rows["kind"], rows["text"], rows["page"], rows["path"])]
-        out = []
-        for n, group in enumerate(packed(own)):
+    def fold(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("block_no")
+        own = zip(*(rows.column(c).to_pylist() for c in ("kind", "text", "page", "path")))
+        doc, out = rows.column("doc_id")[0].as_py(), []
+        for n, group in enumerate(packed([(kind, text, page, path or []) for kind, text, page, path in own])):
             pages = [b[2] for b in group if b[2] is not None]
-            out.append((rows["doc_id"].iloc[0], n, "\n\n".join(b[1] for b in group), group[-1][3], min(pages, default=None), max(pages, default=None)))
-        df = pd.DataFrame(out, columns=["doc_id", "chunk_no", "text", "path", "first_page", "last_page"])
-        return df.astype({"first_page": "Int32", "last_page": "Int32"})
+            out.append({"doc_id": doc, "chunk_no": n, "text": "\n\n".join(b[1] for b in group), "path": group[-1][3], "first_page": min(pages, default=None), "last_page": max(pages, default=None)})
+        return pa.Table.from_pylist(out, FOLD_ARROW)
 
-    return found.groupBy("doc_id").applyInPandas(fold, FOLD)
+    return found.select("doc_id", "block_no", "kind", "text", "page", "path").groupBy("doc_id").applyInArrow(fold, FOLD)
 
 
 def chunk_columns(folded: DataFrame, fields: DataFrame) -> DataFrame:
@@ -211,13 +222,15 @@ def chunk_documents(docs: DataFrame, least: int = MIN_CHUNK) -> DataFrame:
     return chunk_columns(chunk_fold(blocks(docs)), fields).filter(F.col("tokens") >= least)
 
 
-def keep_first(chunks: DataFrame, *order: str, text: str = "text") -> DataFrame:
-    """Chunks without those whose content came before in ``order``. The first of each content is a min of a struct,
-    made by partial aggregates, and joined back: no window over a content of very many copies."""
-    own = F.struct(*order)
-    marked = chunks.withColumns({"_print": T.fingerprint(F.col(text)), "_own": own})
-    first = marked.groupBy("_print").agg(F.min("_own").alias("_first"))
-    return marked.join(first, "_print").filter(F.col("_own") == F.col("_first")).drop("_print", "_own", "_first")
+def keep_first(chunks: DataFrame, *order: str, text: str = "text", content: Column | None = None) -> DataFrame:
+    """Chunks without those whose content came before in ``order``; ``content`` is the text's fingerprint unless given.
+
+    The first of each content is elected by partial aggregates that carry its row, so no content of very many copies
+    meets in a task, and nothing is read twice. Of rows equal in ``order`` too, one stays; rows without content all stay."""
+    own = F.coalesce(T.fingerprint(F.col(text)) if content is None else content, F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
+    rank = F.struct(*order, *([text] if text in chunks.columns else []))
+    marked = chunks.select(own.alias("_content"), F.struct("*").alias("_row"), rank.alias("_rank"))
+    return marked.groupBy("_content").agg(F.min_by("_row", "_rank").alias("_row")).select("_row.*")
 
 
 def chunk_summary(chunks: DataFrame, kept: DataFrame, docs: DataFrame) -> DataFrame:

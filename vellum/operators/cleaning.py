@@ -1,7 +1,8 @@
 """Cleaning of page-structured text, with a log of every change as rows.
 
 The hub is a table of lines: doc_id, page_ord, page_no, line_no, line, and with_ocr for the document. Rules keep or
-change lines and give log rows (LOG); ``clean_documents`` runs all of them and puts documents together again.
+change lines and give log rows (LOG); ``clean_documents`` runs all of them and puts documents together again, over one
+scan and one shuffle by the document: windows and groups by more columns stand on the same partitions.
 """
 
 from __future__ import annotations
@@ -21,18 +22,19 @@ REPEATED_PAGES = 5
 UPPER, LOWER = "A-ZÁÉÍÓÚÑÜ", "a-záéíóúñü"
 NAME = f"[{UPPER}][{LOWER}]+"
 S = T.WS
-PAGE_NUMBER = rf"(?iu)\A{S}*[-–—]?{S}*(p[aá]g(ina)?\.?{S}*)?\p{{Nd}}{{1,4}}({S}*(de|/){S}*\p{{Nd}}{{1,4}})?{S}*[-–—]?{S}*\z"
+PAGE_NUMBER = rf"(?iu)\A{S}*+[-–—]?+{S}*+(p[aá]g(ina)?\.?{S}*+)?\p{{Nd}}{{1,4}}+({S}*+(de|/){S}*+\p{{Nd}}{{1,4}}+)?{S}*+[-–—]?+{S}*+\z"
 LABEL = (
-    rf"(?iu)(?:\A{S}*|(?<=[|*•])|(?<=[,;]{S}))"
-    rf"(?:nombre|matr[ií]cula|alumn[oa]s?|estudiantes?|propietari[oa]s?|t[eé]cnico de lab(?:oratorio)?\.?){S}*:{S}*"
+    rf"(?iu)(?:\A{S}*+|(?<=[|*•])|(?<=[,;]{S}))"
+    rf"(?:nombre|matr[ií]cula|alumn[oa]s?|estudiantes?|propietari[oa]s?|t[eé]cnico de lab(?:oratorio)?\.?){S}*+:{S}*+"
     rf"[^|*,;\n]*?(?:(?!{S})[^|*,;])(?={S}+[{UPPER}{LOWER}][{UPPER}{LOWER}]+{S}*:|{S}*[|*,;]|{S}*\z)"
 )
 NOT_WORD = r"[^\p{L}\p{N}_]"
-TEAM = rf"(?iu)\A{NOT_WORD}*(equipo|integrantes){S}*:?{S}*{NOT_WORD}*\z"
-ITEM = rf"\A(?:{S}|[\-*•])*"
-NAME_LINE = rf"{ITEM}{NAME}({S}+{NAME}){{1,4}}({S}+\p{{Nd}}{{6,8}})?{S}*\z"
-NAME_WITH_ID = rf"{ITEM}{NAME}({S}+{NAME}){{1,4}}{S}+\p{{Nd}}{{6,8}}{S}*\z"
-PHONE_LABEL = rf"(?iu)(?<!{T.WORD})(?:tel[eé]fonos?|tel|cel(?:ular)?)\.?{S}*:?{S}*\+?[\p{{Nd}}()](?:[\p{{Nd}}().\-]|{S}){{6,}}\p{{Nd}}"
+TEAM = rf"(?iu)\A{NOT_WORD}*+(equipo|integrantes){NOT_WORD}*+\z"
+ITEM = rf"\A[\-*•{T.WS_IN}]*+"
+NAME_LINE = rf"{ITEM}{NAME}({S}++{NAME}){{1,4}}({S}++\p{{Nd}}{{6,8}})?{S}*+\z"
+NAME_WITH_ID = rf"{ITEM}{NAME}({S}++{NAME}){{1,4}}{S}++\p{{Nd}}{{6,8}}{S}*+\z"
+PHONE_IN = rf"\p{{Nd}}().\-{T.WS_IN}"
+PHONE_LABEL = rf"(?iu)(?<!{T.WORD})(?:tel[eé]fonos?|tel|cel(?:ular)?)\.?+{S}*+:?+{S}*+\+?+[\p{{Nd}}()][{PHONE_IN}]{{6}}[{PHONE_IN}]*\p{{Nd}}"
 YEARS = rf"(19|20)\p{{Nd}}\p{{Nd}}{S}*[-–]{S}*(19|20)\p{{Nd}}\p{{Nd}}"
 GAP = rf"(?:{S}|-)"
 PHONE = (
@@ -43,7 +45,8 @@ PHONE = (
     r")(?![\p{Nd}.,])"
 )
 W = r"[\p{L}\p{N}_"
-EMAIL = rf"(?<!{T.WORD}){W}.+\-]+@{W}\-]+(?:\.{W}\-]+)+(?!{T.WORD})"
+#: The local part begins where its run of characters does, or right behind the last match.
+EMAIL = rf"(?:(?<!{W}.+\-])|\G(?<!{T.WORD})|(?<=\G[.+\-])){W}.+\-]++@{W}\-]++(?:\.{W}\-]++)++"
 KINDS = ("linea_repetida", "numero_pagina", "dato_personal", "unidad_corregida", "unidad_sospechosa")
 LOG = "kind string, rule string, original string, replacement string, page int, times int"
 KEY = ("doc_id", "page_ord", "line_no")
@@ -69,22 +72,24 @@ def pages_of(body: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """The table of lines from doc_id, markdown, with_ocr; also header, once a line."""
+    """The table of lines from doc_id, markdown, with_ocr. The first line of a document also has its header. A document
+    without markdown, and a page without lines, is one line that is null."""
     header, body = split_header(F.col("markdown"))
-    pages = docs.select("doc_id", "with_ocr", header.alias("header"), F.posexplode(pages_of(body)).alias("page_ord", "p"))
+    pages = docs.select("doc_id", "with_ocr", F.when(F.col("markdown").isNotNull(), header).alias("header"), F.posexplode(pages_of(body)).alias("page_ord", "p"))
     lines = F.posexplode_outer(T.split_lines(F.col("p.text"))).alias("line_no", "line")
-    return pages.select("doc_id", "with_ocr", "header", "page_ord", F.col("p.page_no").alias("page_no"), lines)
+    out = pages.select("doc_id", "with_ocr", "header", "page_ord", F.col("p.page_no").alias("page_no"), lines)
+    return out.withColumn("header", F.when((F.col("page_ord") == 0) & (F.coalesce("line_no", F.lit(0)) == 0), F.col("header")))
 
 
 def line_key(line: Column) -> Column:
     """Form in which lines are compared: numbers at either end as #."""
     key = T.collapse_ws(line)
-    key = F.regexp_replace(key, rf"\p{{Nd}}+(?={NOT_WORD}*\z)", "#")
-    return F.regexp_replace(key, rf"\A({NOT_WORD}*)\p{{Nd}}+", "$1#")
+    key = F.regexp_replace(key, rf"(?<!\p{{Nd}})\p{{Nd}}++(?={NOT_WORD}*+\z)", "#")
+    return F.regexp_replace(key, rf"\A({NOT_WORD}*+)\p{{Nd}}++", "$1#")
 
 
 def is_protected(line: Column) -> Column:
-    return (T.strip_ws(line) == "") | line.rlike(rf"\A{S}*\|")
+    return (T.strip_ws(line) == "") | line.rlike(rf"\A{S}*+\|")
 
 
 def repeated_keys(lines: DataFrame) -> DataFrame:
@@ -103,10 +108,25 @@ def drop_repeated(lines: DataFrame, keys: DataFrame) -> DataFrame:
     return lines.withColumn("key", own).join(keys.select("doc_id", "key"), ["doc_id", "key"], "left_anti").drop("key")
 
 
+def without_repeated(lines: DataFrame) -> DataFrame:
+    """The lines, null where ``repeated_keys`` would have them, the first of which has the log row in changes."""
+    own = F.when(F.col("line").isNotNull() & ~is_protected(F.col("line")), line_key(F.col("line")))
+    page, key = Window.partitionBy("doc_id", "_key", "page_ord").orderBy("line_no"), Window.partitionBy("doc_id", "_key")
+    once = F.col("_key").isNotNull() & (F.row_number().over(page) == 1)
+    df = lines.withColumn("_key", own).withColumn("_once", once)
+    df = df.withColumns({"_times": F.count_if("_once").over(key), "_first": F.min(F.struct("page_ord", "line_no")).over(key), "_pages": F.max("page_ord").over(Window.partitionBy("doc_id")) + 1})
+    gone = F.col("_key").isNotNull() & (F.col("_pages") >= REPEATED_PAGES) & (F.col("_times") >= REPEATED_SHARE * F.col("_pages"))
+    told = gone & (F.col("_first") == F.struct("page_ord", "line_no"))
+    log = F.array(change("linea_repetida", "en ≥50 % de las páginas", T.strip_ws(F.col("line")), "", F.lit(None), F.col("_times")))
+    df = df.withColumns({"changes": F.when(told, log).otherwise(no_changes()), "line": F.when(~gone, F.col("line"))})
+    return df.drop("_key", "_once", "_times", "_first", "_pages")
+
+
 def team_lines(lines: DataFrame) -> DataFrame:
-    """Adds in_team: the line stands in a list of people. Blank and name lines go on with a list; any other ends it."""
+    """Adds in_team: the line stands in a list of people. Blank and name lines go on with a list, as do lines that are
+    gone; any other ends it."""
     line = F.col("line")
-    kind = F.when(line.rlike(TEAM), "open").when(T.strip_ws(line) == "", "blank").when(line.rlike(NAME_LINE), "name").otherwise("other")
+    kind = F.when(line.isNull(), "blank").when(line.rlike(TEAM), "open").when(T.strip_ws(line) == "", "blank").when(line.rlike(NAME_LINE), "name").otherwise("other")
     before = Window.partitionBy("doc_id", "page_ord").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     last = F.last(F.when(F.col("_kind").isin("open", "other"), F.col("_kind")), ignorenulls=True).over(before)
     return lines.withColumn("_kind", kind).withColumn("in_team", F.coalesce(last == "open", F.lit(False)) & (F.col("_kind") == "name")).drop("_kind")
@@ -210,11 +230,11 @@ def prepared(lines: DataFrame) -> DataFrame:
     """What the redaction steps need to know of a line besides its text."""
     line = F.col("line")
     rule = F.when(F.col("in_team"), "lista de equipo").when(line.rlike(NAME_WITH_ID) & ~line.rlike(TEAM), "nombre con matrícula")
-    return team_lines(lines).withColumns({"changes": no_changes(), "whole_rule": rule, "team_head": F.coalesce(line.rlike(TEAM), F.lit(False))})
+    return team_lines(lines).withColumns({"whole_rule": rule, "team_head": F.coalesce(line.rlike(TEAM), F.lit(False))})
 
 
 def redact_lines(lines: DataFrame) -> DataFrame:
-    return run_steps(prepared(lines), redact_steps()).drop("whole_rule", "team_head", "in_team")
+    return run_steps(prepared(lines.withColumn("changes", no_changes())), redact_steps()).drop("whole_rule", "team_head", "in_team")
 
 
 def repair_units(lines: DataFrame) -> DataFrame:
@@ -225,42 +245,37 @@ def is_page_number(line: Column) -> Column:
     return (T.strip_ws(line) != "") & line.rlike(PAGE_NUMBER)
 
 
-def clean_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The lines after all rules (line null where it goes, with changes), and the log rows of repeated lines."""
-    keys = repeated_keys(lines)
-    kept = drop_repeated(lines, keys)
-    log = keys.select("doc_id", change("linea_repetida", "en ≥50 % de las páginas", F.col("original"), "", F.lit(None), F.col("times")).alias("c")).select("doc_id", "c.*")
-    out = run_steps(prepared(kept), [*redact_steps(), *unit_steps(), page_number_step]).drop("whole_rule", "team_head", "in_team")
-    return out, log
+def clean_lines(lines: DataFrame) -> DataFrame:
+    """The lines after all rules: null where a line goes, with the changes."""
+    return run_steps(prepared(without_repeated(lines)), [*redact_steps(), *unit_steps(), page_number_step]).drop("whole_rule", "team_head", "in_team")
 
 
-def change_log(cleaned: DataFrame, repeated: DataFrame) -> DataFrame:
+def change_log(cleaned: DataFrame) -> DataFrame:
     """doc_id and LOG's columns, a row for each change."""
-    return cleaned.select("doc_id", F.explode("changes").alias("c")).select("doc_id", "c.*").unionByName(repeated)
+    return cleaned.select("doc_id", F.explode("changes").alias("c")).select("doc_id", "c.*")
 
 
 def manifest(log: DataFrame) -> DataFrame:
     return log.groupBy("doc_id").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in KINDS))
 
 
-def joined_pages(cleaned: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, markdown: header and pages put together again. A document's lines meet in one task, as they do in a row."""
+def joined_pages(cleaned: DataFrame) -> DataFrame:
+    """doc_id, header, body: pages put together again. A document's lines meet in one task, as they do in a row."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("line_no", "line")))), lambda x: x["line"]), "\n")
-    pages = cleaned.groupBy("doc_id", "page_ord").agg(F.first("page_no").alias("page_no"), T.tidy_blank_lines(text).alias("text"))
+    pages = cleaned.groupBy("doc_id", "page_ord").agg(F.first("page_no").alias("page_no"), F.max("header").alias("header"), T.tidy_blank_lines(text).alias("text"))
     block = F.when(F.col("page_no").isNull(), F.col("text")).otherwise(T.rstrip_ws(F.concat(F.format_string(PAGE_MARK, F.col("page_no").cast("string")), F.lit("\n"), F.col("text"))))
-    bodies = pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_ord", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("body"))
-    heads = docs.select("doc_id", split_header(F.col("markdown"))[0].alias("header"), pages_of(split_header(F.col("markdown"))[1]).alias("_pages"))
-    bare = F.array_join(F.transform("_pages", lambda p: F.when(p["page_no"].isNull(), "").otherwise(F.format_string(PAGE_MARK, p["page_no"].cast("string")))), "\n\n")
-    return heads.join(bodies, "doc_id", "left").select("doc_id", F.concat("header", F.coalesce("body", bare), F.lit("\n")).alias("markdown"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_ord", block.alias("b")))), lambda x: x["b"]), "\n\n")
+    return pages.groupBy("doc_id").agg(F.max("header").alias("header"), body.alias("body"))
+
+
+MISSING = "no markdown: convert the document first"
 
 
 def clean_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From doc_id, markdown, with_ocr: cleaned documents, and the log. A document without markdown is a row without
-    markdown and a message; it is not dropped."""
-    docs = docs.select("doc_id", "markdown", F.coalesce("with_ocr", F.lit(False)).alias("with_ocr"))
-    there = docs.filter(F.col("markdown").isNotNull())
-    lines = lines_of(there).repartition("doc_id")
-    cleaned, repeated = clean_lines(lines)
-    whole = joined_pages(cleaned, there).withColumn("message", F.lit(""))
-    missing = docs.filter(F.col("markdown").isNull()).select("doc_id", "markdown", F.lit("no markdown: convert the document first").alias("message"))
-    return whole.unionByName(missing), change_log(cleaned, repeated)
+    """From doc_id (unique), markdown, with_ocr: cleaned documents, and the log. A document without markdown is a row
+    without markdown and a message; it is not dropped."""
+    lines = lines_of(docs.select("doc_id", "markdown", F.coalesce("with_ocr", F.lit(False)).alias("with_ocr"))).repartition("doc_id")
+    cleaned = clean_lines(lines)
+    whole = joined_pages(cleaned)  # there is a header, empty or not, where there is markdown
+    text, message = F.concat("header", "body", F.lit("\n")), F.when(F.col("header").isNull(), MISSING).otherwise("")
+    return whole.select("doc_id", text.alias("markdown"), message.alias("message")), change_log(cleaned)

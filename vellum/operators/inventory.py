@@ -36,7 +36,7 @@ ENGLISH = (
 LANGUAGE_WORD = "[a-záéíóúüñ]+"
 VALID_TOKEN = r"\A([A-Za-zÁÉÍÓÚÜÑáéíóúüñ]{2,25}|\p{Nd}+([.,]\p{Nd}+)?)\z"
 PUNCTUATION = ".,;:()[]{}\"'¿?¡!«»-–—%/"
-COPY_SUFFIX = rf"{T.WS}*\(\p{{Nd}}+\)\z"
+COPY_SUFFIX = rf"(?<!{T.WS}){T.WS}*+\(\p{{Nd}}++\)\z"
 NO_FOLDER = "(sin carpeta)"
 
 
@@ -104,8 +104,8 @@ def detect_language(df: DataFrame, text: str = "text") -> DataFrame:
 
 def text_quality(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds valid_tokens, tokens and text_quality, which is null where there is no token."""
-    marks = "[" + "".join("\\" + c if c in "[]-\\^&" else c for c in PUNCTUATION) + "]+"
-    tokens = F.transform(F.split(F.col(text), f"{T.WS}+", -1), lambda t: F.regexp_replace(t, rf"\A{marks}|{marks}\z", ""))
+    marks = "[" + "".join("\\" + c if c in "[]-\\^&" else c for c in PUNCTUATION) + "]"
+    tokens = F.transform(F.split(F.col(text), f"{T.WS}+", -1), lambda t: F.regexp_replace(t, rf"\A{marks}++|(?<!{marks}){marks}++\z", ""))
     df = df.withColumn("_tokens", F.filter(tokens, lambda t: t != ""))
     df = df.withColumns({"tokens": F.size("_tokens"), "valid_tokens": F.size(F.filter("_tokens", lambda t: t.rlike(VALID_TOKEN)))}).drop("_tokens")
     return df.withColumn("text_quality", F.try_divide(F.col("valid_tokens"), F.col("tokens")))
@@ -153,11 +153,11 @@ def mark_duplicates(files: DataFrame, path: str = "path", stem: str = "stem", sh
 
     The one that stays has no copy suffix, then the shortest path, then the least one. The election is a min of a
     struct, which partial aggregates make before the shuffle, so a content of very many copies is no hot group; the
-    winners are joined back, which adaptive execution can split.
+    winners are joined back, which adaptive execution can split. A file without a hash duplicates nothing.
     """
     rank = F.struct(F.col(stem).rlike(COPY_SUFFIX).alias("copy"), F.length(path).alias("size"), F.col(path).alias("path"))
-    elected = files.groupBy(sha).agg(F.min(rank).alias("_best"))
-    out = files.join(elected, sha)
+    elected = files.filter(F.col(sha).isNotNull()).groupBy(sha).agg(F.min(rank).alias("_best"))
+    out = files.join(elected, sha, "left")
     return out.withColumn("duplicate_of", F.when(F.col(path) != F.col("_best.path"), F.col("_best.path"))).drop("_best")
 
 

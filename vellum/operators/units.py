@@ -29,16 +29,20 @@ MISREAD = {
     "jg": ("µg", "OCR: µ mal leída"), "xg": ("µg", "OCR: µ mal leída"), "wg": ("µg", "OCR: µ mal leída"), "Ug": ("µg", "OCR: µ mal leída"),
     "prg": ("µg", "OCR: µ mal leída"), "pcg": ("µg", "OCR: µ mal leída"), "yg": ("µg", "OCR: µ mal leída"),
 }
-#: A dose's quantity as it stands before its unit; digits and white space of any script.
-QUANTITY = rf"(\p{{Nd}}(?:(?:[\p{{Nd}}.,\-]|{T.WS})*\p{{Nd}})?{T.WS}*\|?{T.WS}*)"
+BEFORE, AFTER = 30, 10  # characters around an unknown unit
+DOSING_WORDS = r"IV|IM|SC|VO|PO|IO|CRI|bolo|bolus|dosis|dose|cada|q\p{Nd}{1,2}h|infusi[oó]n|infusion"
+
+#: What stands before a dose's unit, from the beginning of a run of digits, marks and white space of any script to its
+#: last digit; then white space and at most one bar.
+RUN = rf"\p{{Nd}}.,\-{T.WS_IN}"
+QUANTITY = rf"(?<![{RUN}])([{RUN}]*\p{{Nd}}{T.WS}*+\|?+{T.WS}*+)"
 COMPOUND = (
-    rf"(\p{{Nd}}(?:{T.WS}|\|)*)(1[a-zA-Z]{{1,2}}|[A-Za-zµμ°%‰][A-Za-zµμ²]{{0,5}})/("
+    rf"(\p{{Nd}}[|{T.WS_IN}]*+)(1[a-zA-Z]{{1,2}}|[A-Za-zµμ°%‰][A-Za-zµμ²]{{0,5}})/("
     + "|".join(sorted(DENOMINATORS, key=len, reverse=True))
     + r")(?![A-Za-z])"
 )
 EDGE_BEFORE, EDGE_AFTER = rf"(?<!{T.WORD})", rf"(?!{T.WORD})"
-DOSING = rf"(?iu)(?:{EDGE_BEFORE}(?:IV|IM|SC|VO|PO|IO|CRI|bolo|bolus|dosis|dose|cada|q\p{{Nd}}{{1,2}}h|infusi[oó]n|infusion){EDGE_AFTER}|/(?:h|min){EDGE_AFTER})"
-BEFORE, AFTER = 30, 10
+DOSING = rf"(?iu)(?:{EDGE_BEFORE}(?:{DOSING_WORDS}){EDGE_AFTER}|/(?:h|min){EDGE_AFTER})"
 
 
 def catalogue(spark: SparkSession) -> DataFrame:
@@ -109,21 +113,23 @@ def micro_log(text: Column, pattern: str, rule: str) -> Column:
     """Repairs of one micro rule, with the denominator that the rule only looks at."""
     denominator = pattern[pattern.rindex("(?=(") + 4 : -2]
     whole = pattern[: pattern.rindex("(?=(")] + f"({denominator})"
-    hits = F.regexp_extract_all(text, F.lit(whole), F.lit(0))
+    hits = F.transform(F.regexp_extract_all(text, F.lit(whole), F.lit(0)), lambda m: F.regexp_replace(m, rf"\A[^\p{{Nd}}]++", ""))
     return F.transform(hits, lambda m: F.struct(m.alias("original"), F.regexp_replace(m, whole, "$1µg$3").alias("replacement"), F.lit(rule).alias("rule")))
 
 
 def unknown_units(text: Column) -> Column:
-    """Contexts of compound units that the catalogue doesn't have; places are sums of the lengths before them."""
+    """Contexts of compound units that the catalogue doesn't have: a unit with BEFORE characters before it and AFTER
+    characters behind it, which come from the ends and beginnings of the pieces around it. A piece with a unit has four
+    characters at least, so a few pieces are enough."""
     gaps, hits = F.split(text, COMPOUND, -1), F.regexp_extract_all(text, F.lit(COMPOUND), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,unit:string>>").alias("out"))
+    pieces = F.zip_with(gaps, hits, lambda gap, hit: F.concat(gap, F.coalesce(hit, F.lit(""))))
+    shared = F.struct(gaps.alias("gaps"), hits.alias("hits"), F.transform(pieces, lambda p: F.right(p, F.lit(BEFORE))).alias("tails"), F.transform(pieces, lambda p: F.left(p, F.lit(AFTER))).alias("heads"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.coalesce(F.length(x["hit"]), F.lit(0))
-        own = F.struct(begin.alias("start"), end.alias("end"), unit_of(x["hit"]).alias("unit"))
-        return F.struct(end.alias("at"), F.when(x["hit"].isNull() | is_known(unit_of(x["hit"])), acc["out"]).otherwise(F.concat(acc["out"], F.array(own))).alias("out"))
+    def around(p: Column, hit: Column, i: Column) -> Column:
+        first = F.greatest(i - BEFORE // 4, F.lit(0))
+        before = F.right(F.concat(F.array_join(F.slice(p["tails"], first + 1, i - first), ""), F.get(p["gaps"], i)), F.lit(BEFORE))
+        after = F.left(F.array_join(F.slice(p["heads"], i + 2, AFTER // 4 + 1), ""), F.lit(AFTER))
+        return F.when(~is_known(unit_of(hit)), T.collapse_ws(F.concat(before, hit, after)))
 
-    found = F.aggregate(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), start, step, lambda acc: acc["out"])
-    told = F.transform(found, lambda m: T.collapse_ws(F.substring(text, F.greatest(m["start"] - BEFORE, F.lit(0)) + 1, m["end"] + AFTER - F.greatest(m["start"] - BEFORE, F.lit(0)))))
+    told = F.transform(F.array(shared), lambda p: F.array_compact(F.transform(p["hits"], lambda hit, i: around(p, hit, i))))[0]
     return F.when(text.rlike(COMPOUND), told).otherwise(F.array().cast("array<string>"))

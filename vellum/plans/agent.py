@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.functions.tables import spread
 from vellum.operators import agent as A
 from vellum.operators import graphs as G
 from vellum.operators import vectors as V
@@ -54,7 +55,7 @@ def answer_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     f = F.struct(F.col("doc_id").alias("id"), A.citation(F.concat(F.lit("Libro "), "source"), (F.col("doc_id") % 50 + 1).cast("int"), (F.col("doc_id") % 50 + 1 + F.col("doc_id") % 2).cast("int")).alias("cite"), F.array("source").alias("path"), F.array().cast("array<string>").alias("dubious_units"), F.substring("text", 1, A.FRAGMENT_CHARS).alias("text"))
     return A.embed(docs.select("doc_id", f.alias("fragment"), "text"), "text", A.hashed_embedding()).select("doc_id", "fragment", "embedding")
 

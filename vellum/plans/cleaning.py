@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 from vellum.operators import cleaning as C
 from vellum.operators import units as U
 from vellum.functions import text as T
+from vellum.functions.tables import spread
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def lines(spark: SparkSession, sf_dir: str, per_page: int = 2) -> DataFrame:
     """doc_id, page_ord, page_no, line_no, line, with_ocr: documents as pages of two lines."""
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(T.split_lines(F.col("text"))).alias("n", "line"))
+    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(T.split_lines(F.col("text"))).alias("n", "line"))
     page = F.floor(F.col("n") / per_page).cast("int")
     return rows.select("doc_id", page.alias("page_ord"), (page + 1).alias("page_no"), F.col("n").alias("line_no"), "line", (F.col("doc_id") % 2 == 0).alias("with_ocr"))
 
@@ -123,7 +128,7 @@ def clean_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, markdown, with_ocr: documents with front matter, page marks, headings, dose lines and people."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     parts = T.split_lines(F.col("text"))
     extra = F.array(F.lit("Manual clínico 2020"), F.concat(F.lit("Nombre: Ana López, dosis "), (F.col("doc_id") % 9 + 1).cast("string"), F.lit(" rng/kg IV")), F.lit("12"))
     page = lambda x, i: F.concat(F.lit("<!-- pagina: "), (i + 1).cast("string"), F.lit(" -->\n# Sección "), (i + 1).cast("string"), F.lit("\n\n"), F.array_join(extra, "\n"), F.lit("\n\n"), x)

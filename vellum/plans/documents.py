@@ -6,17 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
+from vellum.functions.tables import spread
 from vellum.operators import batching as B
 from vellum.operators import chunking as K
 from vellum.plans.cleaning import markdown
+from vellum.sources import files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def dedup_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.keep_first(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", T.count_tokens(F.col("text")).alias("tokens"))
+    own = documents(spark, sf_dir).select("doc_id", T.count_tokens(F.col("text")).alias("tokens"), T.fingerprint(F.col("text")).alias("content"))
+    return K.keep_first(own, "doc_id", content=F.col("content")).select("doc_id", "tokens")
 
 
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,11 +110,12 @@ def upsert_new(spark: SparkSession, sf_dir: str) -> DataFrame:
 def select_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     decision = F.when(F.col("quality") == 1, " Conservar ").otherwise("descartar")
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").withColumn("decision", decision)
-    return docs.filter(F.lower(T.strip_ws(F.col("decision"))) == "conservar").select("doc_id", "source")
+    named = docs.select("doc_id", F.col("source").alias("ruta_relativa"), F.lit("").alias("especialidad"), "decision")
+    return files.select_keep(named).select("doc_id", F.col("ruta_relativa").alias("source"))
 
 
 def rejoined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha1(T.tidy_blank_lines(F.col("text"))).alias("tidy"))
+    return documents(spark, sf_dir).select("doc_id", F.sha1(T.tidy_blank_lines(F.col("text"))).alias("tidy"))
 
 
 QUERIES = {
