@@ -1,8 +1,28 @@
-"""What tables need besides expressions: enough partitions for work on single rows."""
+"""What tables need besides expressions: enough partitions for work on single rows, and lineage cut in shared folders."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The folder in ``spark.checkpoint.dir``, which all machines share. Only a session on one machine may do without
+    it, and gets a temporary folder; elsewhere a local folder would lose data with its executor, so this raises."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder or tempfile.mkdtemp(prefix=f"{name}-")
+
+
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder (``shared_folder``) and go on from there. The files live as long as
+    what reads them; the session's cleaner removes them if spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
+    return df.checkpoint(eager=True)
 
 
 def spread(df: DataFrame) -> DataFrame:

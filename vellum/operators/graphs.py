@@ -8,34 +8,38 @@ small graph of literal edges to the driver by contract.
 from __future__ import annotations
 
 import heapq
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.functions.tables import shared_checkpoint
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "w").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
 
 
-def best_paths(edges: DataFrame, start: str, by_hops: bool = False, most: int = 64) -> DataFrame:
+def best_paths(edges: DataFrame, start: str, by_hops: bool = False, most: int | None = None) -> DataFrame:
     """node, hops, cost, path from ``start``: fewest hops (then least cost) or least cost (then fewest hops), then the
-    least path. Runs until no node gets better, ``most`` rounds at most; state is cut by checkpoints where a folder is set."""
+    least path. Runs until no node gets better; where ``most`` rounds are set and don't suffice, it raises. State is cut by
+    checkpoints in the shared folder."""
     spark = edges.sparkSession
     edges = undirected(edges)
     rank = F.struct("hops", "cost", "path") if by_hops else F.struct("cost", "hops", "path")
-    cut = lambda df: df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
-    best = cut(spark.createDataFrame([(start, 0, 0, [start])], "node string, hops int, cost long, path array<string>"))
+    best = shared_checkpoint(spark.createDataFrame([(start, 0, 0, [start])], "node string, hops int, cost long, path array<string>"))
     frontier = best
-    for _ in range(most):
+    for turn in count():
+        if turn == most:
+            raise ValueError(f"paths still get better after {most} rounds")
         reached = frontier.join(edges, frontier.node == edges.src).filter(~F.array_contains("path", F.col("dst")))
         reached = reached.select(F.col("dst").alias("node"), (F.col("hops") + 1).alias("hops"), (F.col("cost") + F.col("w")).alias("cost"), F.concat("path", F.array("dst")).alias("path"))
         every = best.withColumn("new", F.lit(0)).unionByName(reached.withColumn("new", F.lit(1)))
-        now = cut(every.groupBy("node").agg(F.min(F.struct(rank.alias("rank"), "new", "hops", "cost", "path")).alias("b")).select("node", "b.hops", "b.cost", "b.path", "b.new"))
+        now = shared_checkpoint(every.groupBy("node").agg(F.min(F.struct(rank.alias("rank"), "new", "hops", "cost", "path")).alias("b")).select("node", "b.hops", "b.cost", "b.path", "b.new"))
         frontier = now.filter("new = 1").drop("new")
         best = now.drop("new")
         if frontier.isEmpty():
-            break
-    return best
+            return best
 
 
 def neighbours(edges: list[tuple[str, str, int]]) -> dict[str, list[tuple[str, int]]]:

@@ -52,13 +52,13 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Ventas Tel. "), phone, F.lit(" lunes")))
         .when(F.col("doc_id") % 4 == 1, F.concat(F.lit("TELÉFONO: (81) 55 "), number))
         .when(F.col("doc_id") % 4 == 2, F.concat(F.lit("hotel "), phone))
-        .otherwise(F.lit("J Vet (250) 1996-1998 y (25) 1996-1998"))
+        .otherwise(F.lit("Anales (173) 2004-2011 y (38) 2004-2011"))
     )
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", line.alias("line"))
 
 
 LABELLED = """labelled AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Ventas Tel. ' || phone || ' lunes' WHEN 1 THEN 'TELÉFONO: (81) 55 ' || num WHEN 2 THEN 'hotel ' || phone
-    ELSE 'J Vet (250) 1996-1998 y (25) 1996-1998' END AS line FROM (SELECT doc_id, num, '81-' || substr(num, 1, 3) || '-' || substr(num, 4, 4) AS phone
+    ELSE 'Anales (173) 2004-2011 y (38) 2004-2011' END AS line FROM (SELECT doc_id, num, '81-' || substr(num, 1, 3) || '-' || substr(num, 4, 4) AS phone
     FROM (SELECT doc_id, lpad((doc_id * 7919 % 10000000)::VARCHAR, 7, '0') AS num FROM documents)))"""
 
 
@@ -70,7 +70,7 @@ def pii_phone_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled(spark, sf_dir).select("doc_id", C.marked_phones(F.col("line")).alias("line"))
 
 
-NUMBERS = ("12", "- 12 -", "Página 12", "pág. 3", "12 de 40", "Pagina 7/42", "12345", "Capítulo 3", "2019", "  ")
+NUMBERS = ("7", "– 318 –", "PÁGINA 45", "pag 9", "6 de 210", "pagina. 3 / 88", "70001", "Tabla 5", "1987", "  ")
 
 
 def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,6 +150,9 @@ def split_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown(spark, sf_dir).select("doc_id", F.length(header).alias("header_chars"), F.sha1(body).alias("body_sha1"))
 
 
+MARKDOWN = """markdown AS (SELECT doc_id, '---' || chr(10) || 'documento: "Libro_' || doc_id || '"' || chr(10) || 'fuente: "' || source || '/' || doc_id || '.pdf"' || chr(10) || 'especialidad: "' || source || '"' || chr(10) ||
+    'idioma: "' || lang || '"' || chr(10) || '---' || chr(10) AS header, text, 'Manual clínico 2020' || chr(10) || 'Nombre: Ana López, dosis ' || (doc_id % 9 + 1) || ' rng/kg IV' || chr(10) || '12' AS extra FROM documents)"""
+BODY = """array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: '<!-- pagina: ' || i || ' -->' || chr(10) || '# Sección ' || i || chr(10) || chr(10) || extra || chr(10) || chr(10) || x), chr(10) || chr(10))"""
 WORD_ = r"[\pL\pN_]"
 EMAIL_ = r"[\pL\pN_.+\-]+@[\pL\pN_\-]+(?:\.[\pL\pN_\-]+)+"
 KEYED = r"""keyed AS (SELECT doc_id, page_ord, line_no, line, regexp_replace(regexp_replace(trim(regexp_replace(line, '\s+', ' ', 'g')), '\d+([^\pL\pN_]*)$', '#\1'), '^([^\pL\pN_]*)\d+', '\1#') AS key
@@ -185,6 +188,7 @@ ORACLES = {
     "unit_unknown": rf"""WITH {DOSES}, fixed AS (SELECT * EXCLUDE (line), {REPAIRED_} AS line FROM doses)
         SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN {UNIT_} = '' OR list_contains({KNOWN_}, replace({UNIT_}, 'μ', 'µ')) THEN ''
             ELSE trim(regexp_replace(substring(line, 1, length(regexp_extract(line, '^.*?\d[\s|]*(1[a-zA-Z]{{1,2}}|[A-Za-zµμ°%‰][A-Za-zµμ²]{{0,5}})/(?:día|min|kg|lb|dl|dL|ml|mL|m2|m²|dia|l|L|h|d)', 0)) + 10), '\s+', ' ', 'g')) END AS unknown FROM fixed""",
+    "split_header": f"WITH {MARKDOWN} SELECT doc_id, length(header)::INTEGER AS header_chars, sha1({BODY}) AS body_sha1 FROM markdown",
     "unit_catalog": f"""SELECT DISTINCT replace(p || b, 'μ', 'µ') AS unit FROM (SELECT unnest([{",".join(f"'{x}'" for x in U.PREFIXES)}]) AS p), (SELECT unnest([{",".join(f"'{x}'" for x in U.PREFIXED)}]) AS b)
         UNION SELECT unnest([{",".join(f"'{x}'" for x in U.UNPREFIXED)}])""",
     "simple_log": f"WITH {LINES}, {KEYED}, {SIMPLE} SELECT doc_id, kind, original, times FROM simple",

@@ -9,7 +9,7 @@ from vellum.functions import text as T
 from vellum.functions.tables import spread
 from vellum.operators import batching as B
 from vellum.operators import chunking as K
-from vellum.plans.cleaning import markdown
+from vellum.plans.cleaning import MARKDOWN, markdown
 from vellum.sources import files
 
 
@@ -135,6 +135,10 @@ FOLD = """items AS (SELECT {id} AS id, greatest(1, n_chars // 4) AS tokens FROM
 ALL = FOLD.format(id="doc_id", where="", used=1000, limit=60000)
 ORACLES = {
     "dedup_chunks": r"""SELECT doc_id, CASE WHEN trim(text) = '' THEN 0 ELSE greatest(1, length(text) // 4) END::INTEGER AS tokens FROM (SELECT *, row_number() OVER (PARTITION BY sha1(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) ORDER BY doc_id) AS n FROM documents) WHERE n = 1""",
+    "blocks": rf"""WITH {MARKDOWN}, pages AS (SELECT doc_id, extra, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS page FROM markdown),
+        found AS (SELECT doc_id, page, 1 AS k, 'titulo' AS kind, 'Sección ' || page AS text, 1 AS level FROM pages UNION ALL SELECT doc_id, page, 2, 'parrafo', extra, 0 FROM pages
+            UNION ALL SELECT doc_id, page, 3, CASE WHEN regexp_matches(x, '^\s*\|') THEN 'tabla' ELSE 'parrafo' END, regexp_replace(x, '^\s+|\s+$', '', 'g'), 0 FROM pages WHERE regexp_matches(x, '\S'))
+        SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY page, k) - 1)::INTEGER AS block_no, kind, text, page::INTEGER AS page, 'Sección ' || page AS path, level::INTEGER AS level FROM found""",
     "chunk_ids": r"SELECT doc_id, substring(sha1(source || '#' || doc_id), 1, 16) AS id, source || ' Anatomia de ' || lang AS title FROM documents",
     "greedy_batches": f"WITH RECURSIVE {ALL} SELECT id, tokens, batch::BIGINT AS batch FROM folded",
     "budget_prefix": f"WITH RECURSIVE {ALL} SELECT batch::BIGINT AS batch, texts, tokens FROM fitting",
