@@ -126,9 +126,9 @@ def unknown_units(text: Column) -> Column:
     shared = F.struct(gaps.alias("gaps"), hits.alias("hits"), F.transform(pieces, lambda p: F.right(p, F.lit(BEFORE))).alias("tails"), F.transform(pieces, lambda p: F.left(p, F.lit(AFTER))).alias("heads"))
 
     def around(p: Column, hit: Column, i: Column) -> Column:
-        first = F.greatest(i - BEFORE // 4, F.lit(0))
-        before = F.right(F.concat(F.array_join(F.slice(p["tails"], first + 1, i - first), ""), F.get(p["gaps"], i)), F.lit(BEFORE))
-        after = F.left(F.array_join(F.slice(p["heads"], i + 2, AFTER // 4 + 1), ""), F.lit(AFTER))
+        near = lambda name, steps: [F.coalesce(F.get(p[name], i + k), F.lit("")) for k in steps]
+        before = F.right(F.concat(*near("tails", range(-(BEFORE // 4) - 1, 0)), *near("gaps", [0])), F.lit(BEFORE))
+        after = F.left(F.concat(*near("heads", range(1, AFTER // 4 + 2))), F.lit(AFTER))
         return F.when(~is_known(unit_of(hit)), T.collapse_ws(F.concat(before, hit, after)))
 
     told = F.transform(F.array(shared), lambda p: F.array_compact(F.transform(p["hits"], lambda hit, i: around(p, hit, i))))[0]
