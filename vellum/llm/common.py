@@ -11,7 +11,6 @@ the system when the task ends, so that a worker's memory follows its present tas
 from __future__ import annotations
 
 import ctypes
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,30 +20,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from vellum.functions.tables import shared_checkpoint, shared_folder, spread  # noqa: F401  the subpackage takes them from here
+
 CHUNK = 1 << 20
 U64 = np.uint64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """The folder in ``spark.checkpoint.dir``, which all machines share. Only a session on one machine may do without
-    it, and gets a temporary folder; elsewhere a local folder would lose data with its executor, so this raises."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return folder or tempfile.mkdtemp(prefix=f"{name}-")
-
-
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder (``shared_folder``) and go on from there. The files live as long as
-    what reads them; the session's cleaner removes them if spark.cleaner.referenceTracking.cleanCheckpoints is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
-    return df.checkpoint(eager=True)
+    """One of the given tables; those that hold the work of single rows use all cores, however few row groups they have."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "embeddings") else df
 
 
 def release() -> None:
