@@ -37,7 +37,7 @@ WIDTH = 24
 SIDE = 2
 PLACES = [-2, -1, 1, 2]
 ROUNDS = 2
-BATCH = 2048
+BATCH = 4096
 SLICE = 8192
 RATE = 0.15
 FAN_IN = 64
