@@ -38,6 +38,7 @@ SIDE = 2
 PLACES = [-2, -1, 1, 2]
 ROUNDS = 2
 BATCH = 4096
+SCORED = 8192  # words scored at a time
 SLICE = 8192
 RATE = 0.15
 FAN_IN = 64
@@ -119,25 +120,29 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def hidden(p: dict[str, np.ndarray], beside: np.ndarray) -> np.ndarray:
-    a = np.repeat(p["b"][None, :], len(beside), 0)
-    for k in range(len(PLACES)):
-        a += p["E"][beside[:, k]] * p["P"][k]
-    return np.tanh(a)
+    return np.tanh(np.einsum("nkd,kd->nd", p["E"][beside], p["P"]) + p["b"])
 
 
 def log_probabilities(p: dict[str, np.ndarray], v: Vocabulary, beside: np.ndarray, target: np.ndarray) -> np.ndarray:
-    h = hidden(p, beside)
-    kind, member = np.divmod(target, CLASSES)
-    z = h @ p["C"].T + v.class_bias
-    z -= z.max(1, keepdims=True)
-    out = z[np.arange(len(z)), kind] - np.log(np.exp(z).sum(1))
-    order = np.argsort(kind, kind="stable")
-    at = bounds(kind[order], CLASSES)
-    for c in np.flatnonzero(np.diff(at)):
-        own = order[at[c] : at[c + 1]]
-        z = h[own] @ p["M"][c].T + v.id_bias[c]
+    order = np.argsort((target // CLASSES).astype(np.uint16), kind="stable")  # the words of a class are one run
+    kind, member = np.divmod(target[order], CLASSES)
+    h, every = hidden(p, beside[order]), np.arange(len(target))
+
+    def chosen(z: np.ndarray, at: np.ndarray) -> np.ndarray:
         z -= z.max(1, keepdims=True)
-        out[own] += z[np.arange(len(z)), member[own]] - np.log(np.exp(z).sum(1))
+        own = z[every, at]
+        return own - np.log(np.exp(z, out=z).sum(1))
+
+    z = h @ p["C"].T
+    z += v.class_bias
+    got = chosen(z, kind)
+    at = bounds(kind, CLASSES)
+    for c in np.flatnonzero(np.diff(at)):
+        own = slice(at[c], at[c + 1])
+        np.matmul(h[own], p["M"][c].T, out=z[own])
+        z[own] += v.id_bias[c]
+    out = np.empty(len(target))
+    out[order] = got + chosen(z, member)
     return out
 
 
@@ -258,8 +263,8 @@ def score(docs: DataFrame, model: tuple[dict[str, np.ndarray], Vocabulary]) -> D
                 bucket, row = word_buckets(raw, offsets)
                 ids = v.ids[bucket]
                 logs = np.zeros(len(ids))
-                for a in range(0, len(ids), 16384):
-                    at = np.arange(a, min(a + 16384, len(ids)))
+                for a in range(0, len(ids), SCORED):
+                    at = np.arange(a, min(a + SCORED, len(ids)))
                     logs[at] = log_probabilities(p, v, neighbours(ids, row, at), ids[at]) + v.bucket_share[bucket[at]]
                 words = np.bincount(row, minlength=hi - lo)
                 total = np.bincount(row, logs, hi - lo)
