@@ -24,6 +24,11 @@ def strip_ws(c: Column) -> Column:
     return F.regexp_replace(c, rf"\A{WS}++|(?<!{WS}){WS}++\z", "")
 
 
+def is_blank(c: Column) -> Column:
+    """There is nothing but white space."""
+    return ~c.rlike(rf"[^{WS_IN}]")
+
+
 def rstrip_ws(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?<!{WS}){WS}++\z", "")
 
@@ -40,7 +45,7 @@ def split_lines(c: Column) -> Column:
 
 def count_tokens(c: Column, chars: int = 4) -> Column:
     """Estimated tokens: a quarter of the characters, at least 1, but 0 for a blank text."""
-    return F.when(strip_ws(c) == "", F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(F.length(c) / chars).cast("int")))
+    return F.when(is_blank(c), F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(F.length(c) / chars).cast("int")))
 
 
 def readable_title(c: Column) -> Column:

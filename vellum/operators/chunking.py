@@ -57,7 +57,7 @@ def blocks(docs: DataFrame) -> DataFrame:
     title = heading_title(line)
     kind = (
         F.when(mark != "", "mark")
-        .when(T.strip_ws(line) == "", "blank")
+        .when(T.is_blank(line), "blank")
         .when((title != "") & (F.length(title) <= MAX_TITLE), "titulo")
         .when(line.rlike(rf"\A{T.WS}*+\|"), "tabla")
         .otherwise("parrafo")

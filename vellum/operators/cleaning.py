@@ -7,6 +7,9 @@ scan and one shuffle by the document: windows and groups by more columns stand o
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,7 +92,7 @@ def line_key(line: Column) -> Column:
 
 
 def is_protected(line: Column) -> Column:
-    return (T.strip_ws(line) == "") | line.rlike(rf"\A{S}*+\|")
+    return T.is_blank(line) | line.rlike(rf"\A{S}*+\|")
 
 
 def repeated_keys(lines: DataFrame) -> DataFrame:
@@ -126,7 +129,7 @@ def team_lines(lines: DataFrame) -> DataFrame:
     """Adds in_team: the line stands in a list of people. Blank and name lines go on with a list, as do lines that are
     gone; any other ends it."""
     line = F.col("line")
-    kind = F.when(line.isNull(), "blank").when(line.rlike(TEAM), "open").when(T.strip_ws(line) == "", "blank").when(line.rlike(NAME_LINE), "name").otherwise("other")
+    kind = F.when(line.isNull(), "blank").when(line.rlike(TEAM), "open").when(T.is_blank(line), "blank").when(line.rlike(NAME_LINE), "name").otherwise("other")
     before = Window.partitionBy("doc_id", "page_ord").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     last = F.last(F.when(F.col("_kind").isin("open", "other"), F.col("_kind")), ignorenulls=True).over(before)
     return lines.withColumn("_kind", kind).withColumn("in_team", F.coalesce(last == "open", F.lit(False)) & (F.col("_kind") == "name")).drop("_kind")
@@ -166,15 +169,21 @@ def no_changes() -> Column:
     return F.array().cast(NO_CHANGES)
 
 
+def may_match(line: Column, *parts: str) -> Column:
+    """One of ``parts`` is in the line; true without parts. A search for fixed text costs far less than a pattern."""
+    return reduce(or_, (line.contains(p) for p in parts)) if parts else F.lit(True)
+
+
 def run_steps(lines: DataFrame, steps: list) -> DataFrame:
-    """Each step maps a line to (new line, log of the line as it was). Steps see the line by a lambda variable, so the
-    expression grows with the number of steps, not with its power. A null line stays null."""
+    """Each step maps a line to (whether the rule holds, new line, log of the line as it was); a line that the rule doesn't
+    hold for goes on as it is, its pattern tried once. Steps see the line by a lambda variable, so the expression grows
+    with the number of steps, not with its power. A null line stays null."""
     state = F.array(F.struct(F.col("line").alias("line"), F.col("changes").alias("changes")))
 
     def stepped(state: Column, step) -> Column:
         def one(s: Column) -> Column:
-            new, log = step(s["line"])
-            return F.struct(new.alias("line"), F.concat(s["changes"], F.coalesce(log, no_changes())).alias("changes"))
+            when, new, log = step(s["line"])
+            return F.when(when, F.struct(new.alias("line"), F.concat(s["changes"], log).alias("changes"))).otherwise(s)
 
         return F.transform(state, one)
 
@@ -185,45 +194,46 @@ def run_steps(lines: DataFrame, steps: list) -> DataFrame:
 
 def redact_steps() -> list:
     """Personal data: whole lines (lists of people, names with an id), then labels, e-mails, labelled phones, phones.
-    Whole lines that are redacted, and the head of a list, meet no later rule."""
+    Whole lines that are redacted, and the head of a list, meet no later rule. A pattern is tried on lines that have a
+    character without which it can't match."""
     whole, open_ = F.col("whole_rule").isNotNull(), F.col("whole_rule").isNull() & ~F.col("team_head")
 
     def whole_line(line: Column):
-        return F.when(whole, F.lit(MARK)).otherwise(line), F.when(whole, F.array(change("dato_personal", F.col("whole_rule"), T.strip_ws(line), MARK)))
+        return whole, F.lit(MARK), F.array(change("dato_personal", F.col("whole_rule"), T.strip_ws(line), MARK))
 
-    def rule(pattern: str, name: str, unless: str | None = None):
+    def rule(pattern: str, name: str, signs: str, unless: str | None = None):
         new = lambda line: marked_phones(line) if unless else all_marked(line, pattern)
-        hit = lambda line: open_ & line.rlike(pattern)
-        return lambda line: (F.when(hit(line), new(line)).otherwise(line), F.when(hit(line), hits_log(line, pattern, name, unless)))
+        hit = lambda line: open_ & may_match(line, *signs) & line.rlike(pattern)
+        return lambda line: (hit(line), new(line), hits_log(line, pattern, name, unless))
 
-    return [whole_line, rule(LABEL, "etiqueta personal"), rule(EMAIL, "correo"), rule(PHONE_LABEL, "teléfono con etiqueta"), rule(PHONE, "teléfono", YEARS)]
+    return [whole_line, rule(LABEL, "etiqueta personal", ":"), rule(EMAIL, "correo", "@"), rule(PHONE_LABEL, "teléfono con etiqueta", ""), rule(PHONE, "teléfono", "+-", YEARS)]
 
 
 def unit_steps() -> list:
     """Micrograms, then misread compound units; what is still unknown is only reported."""
     as_changes = lambda log: F.transform(log, lambda m: change("unidad_corregida", m["rule"], m["original"], m["replacement"]))
 
-    def micro(pattern: str, name: str, ocr: bool = False):
+    def micro(pattern: str, name: str, part: str, ocr: bool = False):
         def step(line: Column):
-            when = line.rlike(pattern)
+            when = may_match(line, part) & line.rlike(pattern)
             when = when & F.col("with_ocr") & U.has_dosing_context(line) if ocr else when
-            return F.when(when, F.regexp_replace(line, pattern, "$1µg")).otherwise(line), F.when(when, as_changes(U.micro_log(line, pattern, name)))
+            return when, F.regexp_replace(line, pattern, "$1µg"), as_changes(U.micro_log(line, pattern, name))
 
         return step
 
+    compound = lambda line: may_match(line, "/") & line.rlike(U.COMPOUND)
+
     def misread(line: Column):
-        when = line.rlike(U.COMPOUND)
-        return F.when(when, U.repair_misread(line)).otherwise(line), F.when(when, as_changes(U.misread_log(line)))
+        return compound(line), U.repair_misread(line), as_changes(U.misread_log(line))
 
     def unknown(line: Column):
-        return line, F.when(line.rlike(U.COMPOUND), F.transform(U.unknown_units(line), lambda m: change("unidad_sospechosa", "no está en el catálogo", m, "")))
+        return compound(line), line, F.transform(U.unknown_units(line), lambda m: change("unidad_sospechosa", "no está en el catálogo", m, ""))
 
-    return [micro(U.UG, "ug → µg"), micro(U.GREEK, "μ griega → µ (mismo símbolo)"), micro(U.OCR_MICRO, "µ mal leído por el OCR", True), misread, unknown]
+    return [micro(U.UG, "ug → µg", "ug/"), micro(U.GREEK, "μ griega → µ (mismo símbolo)", "μg/"), micro(U.OCR_MICRO, "µ mal leído por el OCR", "g/kg", True), misread, unknown]
 
 
 def page_number_step(line: Column):
-    gone = is_page_number(line)
-    return F.when(~gone, line), F.when(gone, F.array(change("numero_pagina", "línea con solo un número", T.strip_ws(line), "")))
+    return is_page_number(line), F.lit(None).cast("string"), F.array(change("numero_pagina", "línea con solo un número", T.strip_ws(line), ""))
 
 
 def prepared(lines: DataFrame) -> DataFrame:
@@ -242,7 +252,7 @@ def repair_units(lines: DataFrame) -> DataFrame:
 
 
 def is_page_number(line: Column) -> Column:
-    return (T.strip_ws(line) != "") & line.rlike(PAGE_NUMBER)
+    return ~T.is_blank(line) & line.rlike(PAGE_NUMBER)
 
 
 def clean_lines(lines: DataFrame) -> DataFrame:
