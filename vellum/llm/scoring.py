@@ -115,12 +115,15 @@ def neighbours(ids: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(1, keepdims=True))
-    return z / z.sum(1, keepdims=True)
+    """In place, where a copy would cost as much as the rest; a row's sum is a product with ones."""
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z @ np.ones((z.shape[1], 1), z.dtype)
+    return z
 
 
 def hidden(p: dict[str, np.ndarray], beside: np.ndarray) -> np.ndarray:
-    return np.tanh(np.einsum("nkd,kd->nd", p["E"][beside], p["P"]) + p["b"])
+    return np.tanh(np.einsum("nkd,kd->nd", np.take(p["E"], beside, axis=0), p["P"]) + p["b"])
 
 
 def log_probabilities(p: dict[str, np.ndarray], v: Vocabulary, beside: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -131,7 +134,7 @@ def log_probabilities(p: dict[str, np.ndarray], v: Vocabulary, beside: np.ndarra
     def chosen(z: np.ndarray, at: np.ndarray) -> np.ndarray:
         z -= z.max(1, keepdims=True)
         own = z[every, at]
-        return own - np.log(np.exp(z, out=z).sum(1))
+        return own - np.log(np.exp(z, out=z) @ np.ones(CLASSES, z.dtype))
 
     z = h @ p["C"].T
     z += v.class_bias
@@ -155,7 +158,7 @@ def learn(p: dict[str, np.ndarray], sums: dict[str, np.ndarray], v: Vocabulary,
     at = bounds(kind, CLASSES)
     some = np.flatnonzero(np.diff(at))
     runs = [(c, slice(at[c], at[c + 1])) for c in some]
-    near = p["E"][beside]
+    near = np.take(p["E"], beside, axis=0)
     h = np.tanh(np.einsum("nkd,kd->nd", near, p["P"]) + p["b"])
     dc = softmax(h @ p["C"].T + v.class_bias)
     dc[every, kind] -= 1
@@ -175,7 +178,7 @@ def learn(p: dict[str, np.ndarray], sums: dict[str, np.ndarray], v: Vocabulary,
     each = each[order]
     first = np.flatnonzero(np.r_[True, each[1:] != each[:-1]])
     used = each[first].astype(np.int64)
-    gE = np.add.reduceat((da[:, None, :] * p["P"]).reshape(-1, WIDTH)[order], first, axis=0)
+    gE = np.add.reduceat(np.take((da[:, None, :] * p["P"]).reshape(-1, WIDTH), order, axis=0), first, axis=0)
     for key, at_, g in (("C", slice(None), dc.T @ h), ("P", slice(None), gP), ("b", slice(None), da.sum(0)), ("E", used, gE), ("M", some if len(some) < CLASSES else slice(None), gM)):
         g = g * n**-0.5  # a Python float, so that single precision stays
         seen = sums[key][at_] + g * g
