@@ -40,18 +40,25 @@ def test_equals_the_library(frame, texts):
     assert rows_of(frame) == plain(texts)
 
 
-@pytest.mark.parametrize("head", [0, 400, 20_000])
-def test_rare_pretokens_meet_by_a_shuffle(frame, texts, head):
-    assert rows_of(frame, head_bytes=head) == plain(texts)
+@pytest.mark.parametrize("head, often", [(0, 8), (400, 1), (20_000, 2), (10**8, 1)])
+def test_the_head_changes_no_count(frame, texts, head, often):
+    assert rows_of(frame, head_bytes=head, often=often) == plain(texts)
 
 
-def test_head_is_bounded(spark, frame):
-    entries = tokencount.dictionary(tokencount.frequencies(frame), PATH).cache()
+def test_head_is_bounded(frame):
+    found = tokencount.frequent(frame, 1).cache()
     size = lambda df: sum(len(r["pretoken"].encode()) + tokencount.ENTRY for r in df.collect())
     for most in (0, 1000, 50_000, 10**9):
-        least, whole = tokencount.head_from(entries, most)
-        head = entries.filter(tokencount.frequency_class() >= least)
-        assert size(head) <= most and whole == (head.count() == entries.count())
+        head = tokencount.head_of(found, most)
+        assert size(head) <= most
+        assert not head.count() or head.agg(F.min("times")).first()[0] >= found.join(head, "pretoken", "left_anti").agg(F.coalesce(F.max("times"), F.lit(0))).first()[0]
+
+
+def test_rare_pretokens_are_dealt_out_once(frame):
+    df = tokencount.token_counts(frame, PATH, head_bytes=400)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") + plan.count("ReusedQueryStage") >= 1 and plan.count("REPARTITION_BY_COL") == 1
 
 
 def test_query(spark, sf_dir):

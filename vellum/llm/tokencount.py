@@ -5,10 +5,12 @@
    line feed beside one, so no merge crosses the border of a pre-token and a text's count is the sum of its
    pre-tokens' counts. The model is held against this when it is loaded, and refused if it differs.
 2. Each document's pre-tokens are counted in numpy on Arrow buffers: row, pre-token, frequency.
-3. Their total frequencies give the dictionary of distinct pre-tokens. The library encodes each of them once.
-4. The dictionary is joined to the documents' frequencies and products are summed. Its most frequent entries, so many as
-   ``head_bytes`` hold, are broadcast, whatever the corpus; the frequencies of all others meet the rest of the dictionary by a
-   shuffle, in which no key is frequent. No text's ids are ever made.
+3. Pre-tokens that are frequent within a batch are the dictionary's head, as many of the most frequent as ``head_bytes``
+   hold. The library encodes each once; the head is broadcast and joined to the documents' frequencies.
+4. All other pre-tokens' frequencies are dealt out by pre-token. Each distinct one is encoded once where it arrives and
+   joined to its frequencies, on the same exchange; no key is frequent there. Products are summed by document.
+
+Which pre-tokens are in the head doesn't change a count, only what is shuffled. No text's ids are ever made.
 
 A null or empty text has no tokens. Repeated rows, and rows with a doc_id that is null or not unique, are counted each for
 itself; an empty table gives an empty result. Columns other than doc_id and text are not read.
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 from vellum.llm.common import chunks, map_batches, shared_checkpoint, table
 
 LIMIT = 4096
-HEAD_BYTES = 24 << 20  # of the dictionary's broadcast part, pre-tokens with ENTRY bytes each
+HEAD_BYTES = 16 << 20  # of the dictionary's broadcast part, pre-tokens with ENTRY bytes each
+OFTEN = 8  # times in about a megabyte of texts
 ENTRY = 48
 MARK = "▁"  # stands for a space in pieces; in a text it is one
 SPACE, NEWLINE = 32, 10
@@ -42,6 +45,23 @@ def pretoken_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(mask)
 
 
+def spaced(texts: pa.Array) -> pa.Array:
+    """The texts as the model sees them: marks are spaces, and one space stands before a text that isn't empty."""
+    if pc.any(pc.match_substring(texts, MARK)).as_py():
+        texts = pc.replace_substring(texts, MARK, " ")
+    empty, space = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
+    texts = texts.cast(pa.large_string())
+    return pc.if_else(pc.equal(texts, empty), empty, pc.binary_join_element_wise(space, texts, empty))
+
+
+def pretokens(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.DictionaryArray]]:
+    """(first row, offsets of the rows, first bytes of the pre-tokens, pre-tokens) of runs of rows."""
+    for lo, _, raw, offsets in chunks(spaced(texts)):
+        start = pretoken_starts(raw, offsets)
+        tokens = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(np.r_[start, len(raw)].astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw)))
+        yield lo, offsets, start, tokens.dictionary_encode()
+
+
 def frequencies(docs: DataFrame) -> DataFrame:
     """row, doc_id, n_bytes, pretoken, times: a row for each different pre-token of each document, one with a null
     pre-token for a document without any. ``row`` numbers the documents."""
@@ -50,20 +70,12 @@ def frequencies(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "")
             n_bytes = pc.binary_length(texts).cast(pa.int64())
-            spaced = pc.replace_substring(texts, MARK, " ") if pc.any(pc.match_substring(texts, MARK)).as_py() else texts
-            spaced = spaced.cast(pa.large_string())
-            empty = pa.scalar("", pa.large_string())
-            fed = pc.if_else(pc.equal(n_bytes, 0), empty, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), spaced, empty))
-            for lo, hi, raw, offsets in chunks(fed):
-                start = pretoken_starts(raw, offsets)
-                tokens = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(np.r_[start, len(raw)].astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw)))
-                coded = tokens.dictionary_encode()
-                row = np.searchsorted(offsets, start, "right") - 1
-                kinds = len(coded.dictionary)
+            for lo, offsets, start, coded in pretokens(texts):
+                row, kinds = np.searchsorted(offsets, start, "right") - 1, max(len(coded.dictionary), 1)
                 pairs, times = np.unique(row * kinds + coded.indices.to_numpy(), return_counts=True)
                 none = np.flatnonzero(offsets[:-1] == offsets[1:])
-                own = pa.array(np.r_[pairs // max(kinds, 1), none] + lo)
-                code = pa.array(np.r_[pairs % max(kinds, 1), np.zeros(len(none), np.int64)], mask=np.r_[np.zeros(len(pairs), bool), np.ones(len(none), bool)])
+                own = pa.array(np.r_[pairs // kinds, none] + lo)
+                code = pa.array(np.r_[pairs % kinds, none], mask=np.r_[np.zeros(len(pairs), bool), np.ones(len(none), bool)])
                 yield pa.record_batch(
                     [batch.column("row").take(own), batch.column("doc_id").take(own), n_bytes.take(own), coded.dictionary.take(code).cast(pa.string()), pa.array(np.r_[times, np.zeros(len(none), np.int64)])],
                     names=["row", "doc_id", "n_bytes", "pretoken", "times"],
@@ -73,6 +85,19 @@ def frequencies(docs: DataFrame) -> DataFrame:
     return map_batches(rows, run, "row long, doc_id long, n_bytes long, pretoken string, times long")
 
 
+def frequent(docs: DataFrame, least: int = OFTEN) -> DataFrame:
+    """pretoken, times: those that stand ``least`` times or more in about a megabyte of texts, with what was counted there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, _, coded in pretokens(pc.fill_null(batch.column("text"), "")):
+                times = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
+                own = np.flatnonzero(times >= least)
+                yield pa.record_batch([coded.dictionary.take(pa.array(own)).cast(pa.string()), pa.array(times[own], pa.int64())], names=["pretoken", "times"])
+
+    return map_batches(docs.select("text"), run, "pretoken string, times long").groupBy("pretoken").agg(F.sum("times").alias("times"))
+
+
 class Pieces:
     """Counts of pre-tokens by the library, for a model in which no piece crosses a pre-token's border."""
 
@@ -100,58 +125,53 @@ class Pieces:
 _pieces: dict[str, Pieces] = {}
 
 
-def dictionary(found: DataFrame, path: str) -> DataFrame:
-    """pretoken, times, pieces: every distinct pre-token of the corpus, encoded once."""
+def pieces(token: F.Column, path: str) -> F.Column:
+    """The number of pieces of each pre-token."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("long")
+    def count(tokens: pa.Array) -> pa.Array:
         if path not in _pieces:
             _pieces.clear()
             _pieces[path] = Pieces(path)
-        for batch in batches:
-            tokens, sizes = batch.column("pretoken"), np.cumsum(pc.binary_length(batch.column("pretoken")).to_numpy(zero_copy_only=False), dtype=np.int64)
-            counts, row = [], 0
-            while row < len(tokens):  # the ids of about 64 kB of pre-tokens at a time
-                end = max(row + 1, int(np.searchsorted(sizes, (sizes[row - 1] if row else 0) + (1 << 16), "right")))
-                counts += _pieces[path].count(tokens.slice(row, end - row).to_pylist())
-                row = end
-            yield pa.record_batch([tokens, batch.column("times"), pa.array(counts, pa.int64())], names=["pretoken", "times", "pieces"])
-
-    distinct = found.filter(F.col("pretoken").isNotNull()).groupBy("pretoken").agg(F.sum("times").alias("times"))
-    return map_batches(distinct, run, "pretoken string, times long, pieces long")
-
-
-def head_from(entries: DataFrame, most: int) -> tuple[float, bool]:
-    """The least frequency class of the entries that ``most`` bytes hold, and whether those are all. Of the entries only
-    sums by frequency class (four to each doubling) come to the driver."""
-    sums = entries.groupBy(frequency_class().alias("class")).agg(F.sum(F.octet_length("pretoken") + ENTRY).alias("size")).collect()
+        sizes = np.cumsum(pc.binary_length(tokens).to_numpy(zero_copy_only=False), dtype=np.int64)
+        counts, row = [], 0
+        while row < len(tokens):  # the ids of about 64 kB of pre-tokens at a time
+            end = max(row + 1, int(np.searchsorted(sizes, (sizes[row - 1] if row else 0) + (1 << 16), "right")))
+            counts += _pieces[path].count(tokens.slice(row, end - row).to_pylist())
+            row = end
+        return pa.array(counts, pa.int64())
+
+    return count(token)
+
+
+def head_of(found: DataFrame, most: int) -> DataFrame:
+    """The most frequent of ``found`` that ``most`` bytes hold. The cut falls between classes of frequency, four to each
+    doubling; of these, a sum each comes to the driver."""
+    times_class = F.floor(4 * F.log2(F.col("times").cast("double")))
+    sums = found.groupBy(times_class.alias("class")).agg(F.sum(F.octet_length("pretoken") + ENTRY).alias("size")).collect()
     held, least = 0, float("inf")
     for c, size in sorted(((r["class"], r["size"]) for r in sums), reverse=True):
         held += size
         if held > most:
-            return least, False
+            break
         least = c
-    return least, True
-
-
-def frequency_class() -> F.Column:
-    return F.floor(4 * F.log2(F.col("times").cast("double")))
+    return found.filter(times_class >= least)
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, head_bytes: int = HEAD_BYTES) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, head_bytes: int = HEAD_BYTES, often: int = OFTEN) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, for the sentencepiece model at ``path``."""
+    head = head_of(shared_checkpoint(frequent(docs, often)), head_bytes)
+    head = F.broadcast(shared_checkpoint(head.select("pretoken", pieces(F.col("pretoken"), path).alias("pieces"))))  # head_bytes at most
     found = frequencies(docs)
-    entries = shared_checkpoint(dictionary(found, path))
-    least, whole = head_from(entries, head_bytes)
-    head = F.broadcast(entries.filter(frequency_class() >= least).select("pretoken", "pieces"))
-    keys = ("row", "doc_id", "n_bytes")
     product = F.coalesce(F.sum(F.col("times") * F.col("pieces")), F.lit(0)).alias("n_tokens")
-    joined = found.join(head, "pretoken", "left")
-    counted = joined.groupBy(*keys).agg(product)
-    if not whole:
-        rest = entries.filter(frequency_class() < least).select("pretoken", "pieces")
-        rare = found.join(head, "pretoken", "left_anti").filter(F.col("pretoken").isNotNull()).join(rest, "pretoken").groupBy(*keys).agg(product)
-        counted = counted.unionAll(rare).groupBy(*keys).agg(F.sum("n_tokens").alias("n_tokens"))
-    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    common = found.join(head, "pretoken", "left").groupBy("row", "doc_id", "n_bytes").agg(product)
+    dealt = found.select("row", "pretoken", "times").filter(F.col("pretoken").isNotNull()).join(head, "pretoken", "left_anti").repartition("pretoken")
+    distinct = dealt.groupBy("pretoken").agg(F.min("row").alias("first"), F.sum("times").alias("seen"))
+    distinct = distinct.filter("first >= 0 AND seen > 0")  # true of all; it needs all columns, so the exchange of ``dealt`` is reused
+    dictionary = distinct.select("pretoken", pieces(F.col("pretoken"), path).alias("pieces"))
+    rare = dealt.join(dictionary.hint("merge"), "pretoken").groupBy("row").agg(product)
+    both = common.unionByName(rare, allowMissingColumns=True).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens"))
+    return both.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
