@@ -54,11 +54,20 @@ def test_head_is_bounded(frame):
         assert not head.count() or head.agg(F.min("times")).first()[0] >= found.join(head, "pretoken", "left_anti").agg(F.coalesce(F.max("times"), F.lit(0))).first()[0]
 
 
-def test_rare_pretokens_are_dealt_out_once(frame):
-    df = tokencount.token_counts(frame, PATH, head_bytes=400)
-    df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    assert plan.count("ReusedExchange") + plan.count("ReusedQueryStage") >= 1 and plan.count("REPARTITION_BY_COL") == 1
+def test_each_distinct_pretoken_is_encoded_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    asked, count_all = [], tokencount.count_all
+    monkeypatch.setattr(tokencount, "count_all", lambda tokens, path: asked.extend(tokens.to_pylist()) or count_all(tokens, path))
+    taken = []
+    monkeypatch.setattr(tokencount, "map_batches", lambda df, run, schema: taken.append(run))
+    tokencount.merged(None, PATH)
+    batch = lambda rows: pa.record_batch([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], names=["row", "pretoken", "times"])
+    parts = [batch([(1, " a", 2), (2, " a", 1), (1, " internationalization", 1)]), batch([(5, " internationalization", 3)]), batch([(7, " internationalization", 1), (7, "\nx y", 2)])]
+    got = [tuple(r.values()) for b in taken[0](iter(parts)) for r in b.to_pylist()]
+    n = len(LIBRARY.encode("internationalization"))
+    assert got == [(1, 2), (2, 1), (1, n), (5, 3 * n), (7, n), (7, 2 * (len(LIBRARY.encode("\nx y")) - 1))]
+    assert asked == [" a", " internationalization", "\nx y"]
 
 
 def test_query(spark, sf_dir):

@@ -7,8 +7,8 @@
 2. Each document's pre-tokens are counted in numpy on Arrow buffers: row, pre-token, frequency.
 3. Pre-tokens that are frequent within a batch are the dictionary's head, as many of the most frequent as ``head_bytes``
    hold. The library encodes each once; the head is broadcast and joined to the documents' frequencies.
-4. All other pre-tokens' frequencies are dealt out by pre-token. Each distinct one is encoded once where it arrives and
-   joined to its frequencies, on the same exchange; no key is frequent there. Products are summed by document.
+4. All other pre-tokens' frequencies are dealt out and sorted by pre-token; no key is frequent there. A task encodes each
+   distinct one once where its run begins and joins the count to the run's frequencies. Products are summed by document.
 
 Which pre-tokens are in the head doesn't change a count, only what is shuffled. No text's ids are ever made.
 
@@ -30,7 +30,7 @@ from vellum.llm.common import chunks, map_batches, shared_checkpoint, table
 
 LIMIT = 4096
 HEAD_BYTES = 16 << 20  # of the dictionary's broadcast part, pre-tokens with ENTRY bytes each
-OFTEN = 8  # times in about a megabyte of texts
+OFTEN = 2  # times in about a megabyte of texts
 ENTRY = 48
 MARK = "▁"  # stands for a space in pieces; in a text it is one
 SPACE, NEWLINE = 32, 10
@@ -125,23 +125,50 @@ class Pieces:
 _pieces: dict[str, Pieces] = {}
 
 
-def pieces(token: F.Column, path: str) -> F.Column:
-    """The number of pieces of each pre-token."""
+def loaded(path: str) -> Pieces:
+    if path not in _pieces:
+        _pieces.clear()
+        _pieces[path] = Pieces(path)
+    return _pieces[path]
 
-    @F.arrow_udf("long")
-    def count(tokens: pa.Array) -> pa.Array:
-        if path not in _pieces:
-            _pieces.clear()
-            _pieces[path] = Pieces(path)
-        sizes = np.cumsum(pc.binary_length(tokens).to_numpy(zero_copy_only=False), dtype=np.int64)
-        counts, row = [], 0
-        while row < len(tokens):  # the ids of about 64 kB of pre-tokens at a time
-            end = max(row + 1, int(np.searchsorted(sizes, (sizes[row - 1] if row else 0) + (1 << 16), "right")))
-            counts += _pieces[path].count(tokens.slice(row, end - row).to_pylist())
-            row = end
-        return pa.array(counts, pa.int64())
 
-    return count(token)
+def count_all(tokens: pa.Array, path: str) -> np.ndarray:
+    """The number of pieces of each pre-token; the ids of about 64 kB of them are in memory at a time."""
+    sizes = np.cumsum(pc.binary_length(tokens).to_numpy(zero_copy_only=False), dtype=np.int64)
+    counts, row = [], 0
+    while row < len(tokens):
+        end = max(row + 1, int(np.searchsorted(sizes, (sizes[row - 1] if row else 0) + (1 << 16), "right")))
+        counts += loaded(path).count(tokens.slice(row, end - row).to_pylist())
+        row = end
+    return np.array(counts, np.int64)
+
+
+def dictionary(distinct: DataFrame, path: str) -> DataFrame:
+    """pretoken, pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column("pretoken"), pa.array(count_all(batch.column("pretoken"), path))], names=["pretoken", "pieces"])
+
+    return map_batches(distinct.select("pretoken"), run, "pretoken string, pieces long")
+
+
+def merged(dealt: DataFrame, path: str) -> DataFrame:
+    """row, n_tokens: the products for frequencies dealt out and sorted by pre-token. A run of a pre-token may cross the border
+    of two batches, so the last count is kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, 0
+        for batch in batches:
+            coded = batch.column("pretoken").dictionary_encode()
+            tokens = coded.dictionary  # in the order of the runs
+            known = int(len(tokens) > 0 and tokens[0].as_py() == last)
+            counts = np.r_[np.full(known, held, np.int64), count_all(tokens.slice(known), path)]
+            if len(tokens):
+                last, held = tokens[-1].as_py(), int(counts[-1])
+            yield pa.record_batch([batch.column("row"), pa.array(batch.column("times").to_numpy() * counts[coded.indices.to_numpy()])], names=["row", "n_tokens"])
+
+    return map_batches(dealt, run, "row long, n_tokens long")
 
 
 def head_of(found: DataFrame, most: int) -> DataFrame:
@@ -161,15 +188,12 @@ def head_of(found: DataFrame, most: int) -> DataFrame:
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, head_bytes: int = HEAD_BYTES, often: int = OFTEN) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, for the sentencepiece model at ``path``."""
     head = head_of(shared_checkpoint(frequent(docs, often)), head_bytes)
-    head = F.broadcast(shared_checkpoint(head.select("pretoken", pieces(F.col("pretoken"), path).alias("pieces"))))  # head_bytes at most
+    head = F.broadcast(shared_checkpoint(dictionary(head, path)))  # head_bytes at most
     found = frequencies(docs)
     product = F.coalesce(F.sum(F.col("times") * F.col("pieces")), F.lit(0)).alias("n_tokens")
     common = found.join(head, "pretoken", "left").groupBy("row", "doc_id", "n_bytes").agg(product)
-    dealt = found.select("row", "pretoken", "times").filter(F.col("pretoken").isNotNull()).join(head, "pretoken", "left_anti").repartition("pretoken")
-    distinct = dealt.groupBy("pretoken").agg(F.min("row").alias("first"), F.sum("times").alias("seen"))
-    distinct = distinct.filter("first >= 0 AND seen > 0")  # true of all; it needs all columns, so the exchange of ``dealt`` is reused
-    dictionary = distinct.select("pretoken", pieces(F.col("pretoken"), path).alias("pieces"))
-    rare = dealt.join(dictionary.hint("merge"), "pretoken").groupBy("row").agg(product)
+    dealt = found.select("row", "pretoken", "times").filter(F.col("pretoken").isNotNull()).join(head, "pretoken", "left_anti").repartition("pretoken").sortWithinPartitions("pretoken")
+    rare = merged(dealt, path).groupBy("row").agg(F.sum("n_tokens").alias("n_tokens"))
     both = common.unionByName(rare, allowMissingColumns=True).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens"))
     return both.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
