@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -30,3 +31,26 @@ def spread(df: DataFrame) -> DataFrame:
     group. A table of more partitions is left as it is, so nothing large is moved."""
     wanted = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+
+
+PLACE_BITS = 33  # of a monotonically increasing id: the place in the partition
+
+
+def in_ranges(df: DataFrame, *order: str | Column, part: str, at: str) -> DataFrame:
+    """``df`` in ranges of ``order``, sorted, with the number of each row's range and its place there, from 0.
+
+    It is written once and only read afterwards. A plan with a range partitioning gives other ranges each time it is
+    evaluated (bounds come from a sample, adaptive execution joins small ranges), so counts, tables and results that were taken
+    from several evaluations wouldn't belong together.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    own = F.col(at)
+    return shared_checkpoint(placed).withColumns({part: F.shiftright(own, PLACE_BITS).cast("int"), at: own.bitwiseAND(F.lit((1 << PLACE_BITS) - 1))})
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as make it none of the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
+from vellum.functions.tables import free_name, in_ranges
 
 # The domain's thresholds, extensions and word lists.
 MIN_PAGE_CHARS = 200
@@ -197,9 +198,12 @@ def ocr_mode(kind: Column, quality: Column) -> Column:
 
 
 def numbered(df: DataFrame, order: str, name: str = "ord") -> DataFrame:
-    """Position in ``order`` without a global window: range partitions, then counts before each partition."""
-    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    inside = ranged.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    sizes = ranged.groupBy("_part").count()
-    before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))  # a row for each partition
-    return inside.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_own") - 1).drop("_part", "_own", "_before")
+    """Position in ``order`` without a global window: ranges written once, then counts before each range. Rows of equal
+    ``order`` come in any order. A column of this name is replaced."""
+    df = df.drop(name) if name != order else df
+    part, at, before = (free_name(df, x) for x in ("_part", "_at", "_before"))
+    placed = in_ranges(df, order, part=part, at=at)
+    sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+    starts = sizes.select(part, (F.sum("n").over(Window.orderBy(part)) - F.col("n")).alias(before))  # a row for each range
+    start = F.coalesce(before, F.raise_error(F.lit("a range without a count")).cast("long"))
+    return placed.join(F.broadcast(starts), part, "left").withColumn(name, start + F.col(at)).drop(part, at, before)
