@@ -276,11 +276,62 @@ def test_lm_scoring_edges(edges, nothing):
 
 
 def test_lm_scoring_trains_every_word(spark):
-    texts = ["solo", "uno dos", prose(7, 1), prose(50, 2), prose(200, 3)]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
-    v, start = scoring.Vocabulary(scoring.bucket_counts(df)), scoring.flat(scoring.fresh())
-    seen = [scoring.trained_copies(df, start, v, turn).first()["words"] for turn in range(scoring.ROUNDS)]
-    assert sum(seen) == sum(len(t.split()) for t in texts)
+    texts = ["solo", "uno dos", None, "", prose(7, 1), prose(50, 2), prose(200, 3), prose(9000, 4)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    counts, total = scoring.bucket_counts(df), sum(len((t or "").split()) for t in texts)
+    assert counts.sum() == total
+    v, start, dealt = scoring.Vocabulary(counts), scoring.flat(scoring.fresh()), scoring.dealt_out(df, total, 100)
+    seen = [scoring.trained_copies(dealt, start, v, turn).filter("slice = 0").agg(F.sum("words")).first()[0] for turn in range(scoring.ROUNDS)]
+    assert sum(seen) == total and dealt.select("share").distinct().count() > 2
+
+
+@pytest.mark.parametrize("share", [scoring.SHARE, 20_000])
+def test_lm_scoring_follows_the_corpus_alone(docs, share):
+    got = []
+    for parts in (2, 6):
+        own = docs.repartition(parts)
+        got.append({r["doc_id"]: r["log_prob"] for r in scoring.score(own, scoring.fit(own, share)).collect()})
+    assert got[0].keys() == got[1].keys() and all(abs(got[1][k] - x) <= 1e-6 * max(1, abs(x)) for k, x in got[0].items())
+
+
+def test_lm_scoring_sums(docs):
+    """Every document's sum against probabilities taken word by word."""
+    model = p, v = scoring.fit(docs)
+    rows = {r["doc_id"]: r for r in scoring.score(docs, model).collect()}
+    for doc_id, text in list(texts_of(docs).items())[::20]:
+        words, total = re.findall("[0-9a-z\x80-\U0010ffff]+", text.lower()), 0.0
+        raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+        bucket = scoring.word_buckets(raw, np.array([0, len(raw)]))[0]
+        ids = v.ids[bucket]
+        for i in range(len(words)):
+            h = np.tanh(sum(p["E"][ids[i + d] if 0 <= i + d < len(ids) else 0] * p["P"][k] for k, d in enumerate(scoring.PLACES)) + p["b"])
+            c, m = divmod(ids[i], scoring.CLASSES)
+            for z, at in ((h @ p["C"].T + v.class_bias, c), (h @ p["M"][c].T + v.id_bias[c], m)):
+                total += z[at] - np.logaddexp.reduce(z.astype(float))
+            total += v.bucket_share[bucket[i]]
+        assert rows[doc_id]["n_words"] == len(words) and abs(rows[doc_id]["log_prob"] - total) <= 1e-4 * max(1, abs(total))
+
+
+def test_lm_scoring_gradient(monkeypatch):
+    """One step of learn against finite differences of the loss."""
+    rng = np.random.default_rng(1)
+    v = scoring.Vocabulary(rng.integers(0, 50, scoring.BUCKETS))
+    p = {k: x.astype(np.float64) for k, x in scoring.fresh(5).items()}
+    beside, target = rng.integers(0, scoring.IDS, (40, len(scoring.PLACES))), rng.integers(0, scoring.IDS, 40)
+    loss = lambda q: -scoring.log_probabilities(q, v, beside, target).sum() / 40**0.5
+    sums = {k: np.zeros(shape) for k, shape in scoring.SIZES.items()}
+    q = {k: x.copy() for k, x in p.items()}
+    scoring.learn(q, sums, v, beside, target, rate=1.0)
+    grad = {k: (p[k] - q[k]) * np.sqrt(sums[k] + 1e-3) for k in p}  # undo Adagrad's scale
+    for k in p:
+        places = [tuple(x) for x in np.argwhere(np.abs(grad[k]) > 1e-3)]
+        for place in [places[i] for i in rng.choice(len(places), min(6, len(places)), replace=False)]:
+            step, ends = 1e-4, []
+            for sign in (1, -1):
+                moved = {n: x.copy() for n, x in p.items()}
+                moved[k][place] += sign * step
+                ends.append(loss(moved))
+            assert abs((ends[0] - ends[1]) / (2 * step) - grad[k][place]) <= 1e-3 * max(1, abs(grad[k][place])), (k, place)
 
 
 def test_lm_scoring_shared_ids():
@@ -729,7 +780,7 @@ def test_classifier_edges(spark, edges, nothing):
     assert model == 1.0 and quality.score(edges, model).filter("score = 1").count() == len(EDGES)
     some = edges.withColumn("y", (F.col("doc_id") % 2).cast("int"))
     trained = quality.train(*quality.encoded(some.filter("doc_id is not null")))
-    kept = quality.score(edges, trained, keep=True)
+    kept = quality.score(edges, trained, keep="quality_score")
     assert kept.columns == [*edges.columns, "quality_score"] and kept.filter(F.col("quality_score").between(0, 1)).count() == len(EDGES)
     named = edges.filter("doc_id in (4, 6)").withColumn("lang", F.when(F.col("doc_id") == 4, "en").otherwise("xx"))
     rows = {r["doc_id"]: r for r in language.predict(edges, language.train(*language.histograms(named))).collect()}
@@ -844,6 +895,19 @@ def test_pipeline(spark, sf_dir, tmp_path):
     assert rows == {tuple(r) for r in docs.select("doc_id", "piece", "length", "ids_crc32").collect()}
 
 
+def test_pipeline_keeps_clashing_columns(spark, sf_dir):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id < 60")
+    names = ["quality_score", "score", "_quality_score", "key", "places", "class_id", "copy_id", "row", "part", "words"]
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c} "), "doc_id") for c in names})
+    for _, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)
+        rows = docs.collect()
+        assert rows and all(r[c] == f"{c} {r['doc_id']}" for r in rows for c in names)
+    assert P.STAGES[-1][1](spark, docs, sf_dir).count()
+
+
 def test_pipeline_of_nothing(spark, sf_dir):
     import corpus_pipeline as P
 

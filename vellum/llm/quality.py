@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.functions.tables import free_name
 from vellum.llm.common import U64, bounds, chunks, labelled_sample, map_batches, mix, sigmoid, span_hash, table, word_spans
 
 SAMPLE = 6000
@@ -130,12 +131,14 @@ def train(x: np.ndarray, at: np.ndarray, y: np.ndarray, epochs: int = 30, batch:
     return p
 
 
-def score(docs: DataFrame, model: dict[str, np.ndarray] | float, keep: bool = False) -> DataFrame:
-    """doc_id and score; with ``keep`` all columns of ``docs`` and the score last, in the column ``quality_score``, which
-    takes the place of one of that name."""
-    schema, name = ("doc_id long", "score") if not keep else (None, "quality_score")
-    docs = docs.drop(name) if keep else docs.select("doc_id", "text")
+def score(docs: DataFrame, model: dict[str, np.ndarray] | float, keep: str = "") -> DataFrame:
+    """doc_id and score; with ``keep`` all columns of ``docs`` and the score last, in a column of that name, which must be
+    a new one."""
+    schema, name = "doc_id long", keep or "score"
+    docs = docs if keep else docs.select("doc_id", "text")
     if keep:
+        if free_name(docs, keep) != keep:
+            raise ValueError(f"there is a column {keep}")
         from pyspark.sql import types as T
 
         schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])

@@ -6,11 +6,14 @@ tanh; a two-level softmax gives the class of the word (one of ``CLASSES``) and t
 
 1. Words are hashed into ``BUCKETS`` buckets, whose counts over the whole corpus are summed by Spark. The most frequent
    buckets get ids of their own, the others share the last ``SHARED`` ids. Counts also set the softmax's biases.
-2. ``ROUNDS`` times every partition trains a copy of the network in numpy (Adagrad) on its own documents, at every
+2. Documents are dealt out by a hash of id and words to shares of ``SHARE`` words on average, so many as the corpus needs, and
+   stand there in the order of the hash. What is trained follows from the corpus alone, not from the session's cores or
+   the table's partitions. Words travel as bucket numbers of two bytes.
+3. ``ROUNDS`` times every share trains a copy of the network in numpy (Adagrad) on its own documents, at every
    ``ROUNDS``-th word beginning at a place that differs by document and moves on with the round, so that every word of
    every document is trained at exactly once; copies are averaged, weighted by the words they saw, in levels of groups of
    ``FAN_IN`` copies at most. The network's size is fixed, and what is gathered grows with the corpus.
-3. All words of all documents are scored on the executors: the network's probability of the word's id times the share
+4. All words of all documents are scored on the executors: the network's probability of the word's id times the share
    of the word's bucket in that id.
 
 A null or empty text, or one without words, has log_prob 0, 0 words and no mean. Repeated rows are scored alike. An
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import bounds, chunks, map_batches, shared_checkpoint, table, word_hashes
+from vellum.llm.common import CHUNK, bounds, chunks, map_batches, shared_checkpoint, table, word_hashes
 
 BUCKETS = 1 << 16
 CLASSES = 64
@@ -40,6 +43,7 @@ ROUNDS = 2
 BATCH = 4096
 SCORED = 8192  # words scored at a time
 SLICE = 8192
+SHARE = 1 << 20  # words, on average
 RATE = 0.15
 FAN_IN = 64
 
@@ -190,51 +194,100 @@ def learn(p: dict[str, np.ndarray], sums: dict[str, np.ndarray], v: Vocabulary,
         p[key][at_] -= g
 
 
-def trained_copies(docs: DataFrame, start: np.ndarray, v: Vocabulary, turn: int) -> DataFrame:
-    """part, slice, words and values of each partition's copy; a row for each slice of the parameters."""
-    shared = docs.sparkSession.sparkContext.broadcast((start, v))
+def dealt_out(docs: DataFrame, words: int, share: int = SHARE) -> DataFrame:
+    """share and words (two bytes a word) of the documents that have words, dealt out and sorted, written once."""
+    n = max(1, -(-words // share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        start, v = shared.value
-        p, words = shaped(start.copy()), 0
-        sums = {k: np.zeros(shape, np.float32) for k, shape in SIZES.items()}
-        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for _, _, raw, offsets in chunks(batch.column("text"), lower=True):
+            for lo, hi, raw, offsets in chunks(batch.column("text"), lower=True):
                 bucket, row = word_buckets(raw, offsets)
-                if not len(bucket):
-                    continue
-                ids = v.ids[bucket]
-                first = bounds(row, int(row[-1]) + 1)[row]
-                at = np.flatnonzero((np.arange(len(ids)) - first + bucket[first] + turn) % ROUNDS == 0)
-                words += len(at)
-                held.append((neighbours(ids, row, at), ids[at]))
-                if sum(len(t) for _, t in held) >= BATCH:
-                    beside, target = (np.concatenate(x) for x in zip(*held))
-                    whole = len(target) // BATCH * BATCH
-                    for lo in range(0, whole, BATCH):
-                        learn(p, sums, v, beside[lo : lo + BATCH], target[lo : lo + BATCH])
-                    held = [(beside[whole:], target[whole:])]
-        if held and len(held[0][1]):
-            beside, target = (np.concatenate(x) for x in zip(*held))
-            learn(p, sums, v, beside, target)
-        if words:
-            x = flat(p)
-            slices = [x[lo : lo + SLICE] for lo in range(0, len(x), SLICE)]
-            yield pa.record_batch([pa.array([TaskContext.get().partitionId()] * len(slices), pa.int32()), pa.array(range(len(slices)), pa.int32()), pa.array([float(words)] * len(slices)), pa.array([s.astype("<f4").tobytes() for s in slices], pa.binary())], names=["part", "slice", "words", "values"])
-
-    return map_batches(docs.select("text"), run, "part int, slice int, words double, values binary")
+                at = bounds(row, hi - lo)
+                some = np.flatnonzero(np.diff(at))
+                data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(2 * at.astype(np.int64)), pa.py_buffer(bucket.astype("<u2"))])
+                yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo).take(pa.array(some)), data.take(pa.array(some)).cast(pa.binary())], names=["doc_id", "words"])
+
+    coded = map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, words binary")
+    keyed = coded.withColumn("key", F.xxhash64("doc_id", "words")).withColumn("share", F.pmod("key", F.lit(n)).cast("int"))
+    return shared_checkpoint(keyed.repartitionById(n, F.col("share")).sortWithinPartitions("share", "key", "doc_id", "words").select("share", "words"))
+
+
+def document_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Share, buckets and rows of runs of documents of one share, of about ``CHUNK`` bytes."""
+    for batch in batches:
+        share, column = batch.column("share").to_numpy(), batch.column("words").cast(pa.large_binary())
+        at = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
+        data = np.frombuffer(column.buffers()[2], np.uint8) if len(column) else None
+        row = 0
+        while row < len(share):
+            end = max(row + 1, int(np.searchsorted(at, at[row] + CHUNK, "right")) - 1)
+            end = row + int(np.searchsorted(share[row:end], share[row], "right"))
+            own = np.frombuffer(data[at[row] : at[end]].tobytes(), "<u2").astype(np.int64)
+            yield int(share[row]), own, np.repeat(np.arange(end - row), np.diff(at[row : end + 1]) // 2)
+            row = end
+
+
+class Copy:
+    """A copy of the network in training."""
+
+    def __init__(self, share: int, start: np.ndarray, v: Vocabulary):
+        self.share, self.v, self.words = share, v, 0
+        self.p = shaped(start.copy())
+        self.sums = {k: np.zeros(shape, np.float32) for k, shape in SIZES.items()}
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def take(self, bucket: np.ndarray, row: np.ndarray, turn: int) -> None:
+        ids = self.v.ids[bucket]
+        first = bounds(row, int(row[-1]) + 1)[row]
+        at = np.flatnonzero((np.arange(len(ids)) - first + bucket[first] + turn) % ROUNDS == 0)
+        self.words += len(at)
+        self.held.append((neighbours(ids, row, at), ids[at]))
+        if sum(len(t) for _, t in self.held) >= BATCH:
+            self.learn(BATCH)
+
+    def learn(self, batch: int) -> None:
+        """From what is held, in whole batches; the rest stays."""
+        beside, target = (np.concatenate(x) for x in zip(*self.held))
+        whole = len(target) // batch * batch
+        for lo in range(0, whole, batch):
+            learn(self.p, self.sums, self.v, beside[lo : lo + batch], target[lo : lo + batch])
+        self.held = [(beside[whole:], target[whole:])]
+
+    def rows(self) -> pa.RecordBatch:
+        if left := sum(len(t) for _, t in self.held):
+            self.learn(left)
+        x = flat(self.p)
+        slices = [x[lo : lo + SLICE] for lo in range(0, len(x), SLICE)]
+        columns = [pa.array([self.share] * len(slices), pa.int32()), pa.array(range(len(slices)), pa.int32()), pa.array([float(self.words)] * len(slices)), pa.array([s.astype("<f4").tobytes() for s in slices], pa.binary())]
+        return pa.record_batch(columns, names=["part", "slice", "words", "values"])
+
+
+def trained_copies(dealt: DataFrame, start: np.ndarray, v: Vocabulary, turn: int) -> DataFrame:
+    """part, slice, words and values of each share's copy; a row for each slice of the parameters."""
+    shared = dealt.sparkSession.sparkContext.broadcast((start, v))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, v = shared.value
+        copy = None
+        for share, bucket, row in document_runs(batches):
+            if copy and copy.share != share:
+                yield copy.rows()
+                copy = None
+            copy = copy or Copy(share, start, v)
+            copy.take(bucket, row, turn)
+        if copy:
+            yield copy.rows()
+
+    return map_batches(dealt, run, "part int, slice int, words double, values binary")
 
 
 def averaged(copies: DataFrame, fan_in: int = FAN_IN) -> np.ndarray | None:
     """The parameters' mean over all copies, by levels of groups of ``fan_in`` copies at most of a slice."""
 
     def mean(rows: pd.DataFrame) -> pd.DataFrame:
-        words = rows["words"].sum()
+        rows, words = rows.sort_values("part"), rows["words"].sum()
         total = sum(np.frombuffer(x, "<f4").astype(np.float64) * w for x, w in zip(rows["values"], rows["words"]))
-        return pd.DataFrame({"part": [rows["part"].min() // fan_in], "slice": [rows["slice"].iloc[0]], "words": [words], "values": [(total / words).astype("<f4").tobytes()]}).astype({"part": "int32"})
+        return pd.DataFrame({"part": [rows["part"].min() // fan_in], "slice": [rows["slice"].iloc[0]], "words": [words], "values": [(total / max(words, 1)).astype("<f4").tobytes()]}).astype({"part": "int32"})
 
     schema = "part int, slice int, words double, values binary"
     left = (copies.agg(F.max("part")).first()[0] or 0) + 1
@@ -246,11 +299,12 @@ def averaged(copies: DataFrame, fan_in: int = FAN_IN) -> np.ndarray | None:
     return np.concatenate([np.frombuffer(x, "<f4") for x in rows.column("values").to_pylist()]) if rows.num_rows else None
 
 
-def fit(docs: DataFrame) -> tuple[dict[str, np.ndarray], Vocabulary]:
-    v = Vocabulary(bucket_counts(docs))
+def fit(docs: DataFrame, share: int = SHARE) -> tuple[dict[str, np.ndarray], Vocabulary]:
+    counts = bucket_counts(docs)
+    v, dealt = Vocabulary(counts), dealt_out(docs, int(counts.sum()), share)
     p = flat(fresh())
     for turn in range(ROUNDS):
-        found = averaged(shared_checkpoint(trained_copies(docs, p, v, turn)))
+        found = averaged(shared_checkpoint(trained_copies(dealt, p, v, turn)))
         p = p if found is None else found
     return shaped(p), v
 
