@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.functions.tables import free_name
 from vellum.llm import decontamination, neardup, packing, private, quality
 from vellum.llm.common import shared_folder, table
 
@@ -19,7 +20,8 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents whose quality score is at least the classifier's threshold, with all their columns."""
     learn = F.crc32(F.col("doc_id").cast("string")) % 4 != HELD_OUT
     model = quality.learned(docs, table(spark, sf_dir, "labels"), learn)
-    return quality.score(docs, model, keep=True).filter(F.col("quality_score") >= quality.THRESHOLD).drop("quality_score")
+    name = free_name(docs, "quality_score")
+    return quality.score(docs, model, keep=name).filter(F.col(name) >= quality.THRESHOLD).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
