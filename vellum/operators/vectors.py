@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,10 +37,69 @@ def cosine_topk(vectors: DataFrame, query: list[float], k: int = 8, key: str = "
 
 def cosine_topk_batch(vectors: DataFrame, questions: DataFrame, k: int = 8, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k most similar rows for each question (question_id, question). ``questions`` is a bounded set by contract
-    (``BATCH`` at most, checked), so it is broadcast; each task keeps k rows a question (WindowGroupLimit)."""
+    (``BATCH`` at most, checked), so it is broadcast; each task keeps k rows a question (WindowGroupLimit). A pair without a
+    similarity (a null vector, one without length, vectors of two lengths) takes no part."""
     scored = vectors.crossJoin(F.broadcast(questions)).select("question_id", key, F.round(cosine(F.col(vector), F.col("question")), 6).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("similarity"), key))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return scored.filter(F.col("similarity").isNotNull()).withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """key, v (array<double>) and width of the vectors that have a similarity to others: neither null nor with null or
+    non-finite components nor all zeros. Rows without a key are left out."""
+    v = F.col(vector).cast("array<double>")
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    own = vectors.filter(F.col(key).isNotNull() & F.col(vector).isNotNull())
+    return own.select(F.col(key).cast("long").alias("key"), v.alias("v"), F.size(vector).alias("width"), fine.alias("fine")).filter("fine").drop("fine")
+
+
+def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width) if len(column) else np.zeros((0, width))
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled first, so that no square overflows."""
+    x = x / np.abs(x).max(1, keepdims=True, initial=0)
+    return x / np.sqrt((x**2).sum(1, keepdims=True))
+
+
+CELL_BYTES = 8 << 20  # of the vectors of a cell, or the questions of a block, on average
+
+
+def cosine_topk_table(vectors: DataFrame, questions: DataFrame, k: int = 8, key: str = "vec_id", vector: str = "embedding", size: int = CELL_BYTES) -> DataFrame:
+    """question_id, key, similarity, rank: what ``cosine_topk_batch`` gives, for a table of questions of any size.
+
+    Vectors are dealt out to cells and questions to blocks of about ``size`` bytes, by hashes of their keys; a task takes one
+    cell and one block, as a product of matrices, and gives the k best of the cell for each question of the block. The k
+    best of all cells are chosen by a window, which keeps k rows a task before the shuffle."""
+    own, asked = usable(vectors, key, vector), usable(questions, "question_id", "question")
+    share = lambda df: max(1, -(-(df.agg(F.sum(8 * F.col("width").cast("long"))).first()[0] or 0) // size))
+    cells, blocks = share(own), share(asked)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = own.withColumn("cell", F.pmod(F.xxhash64("key", "v"), F.lit(cells)).cast("int")).withColumn("block", every(blocks))
+    asking = asked.withColumn("block", F.pmod(F.xxhash64("key", "v"), F.lit(blocks)).cast("int")).withColumn("cell", every(cells))
+
+    def best(group: tuple[pa.Scalar, ...], own: pa.Table, asked: pa.Table) -> pa.Table:
+        width, ids, keys, sims = group[0].as_py(), [], [], []
+        x, q, names = unit(matrix(own.column("v"), width)), unit(matrix(asked.column("v"), width)), own.column("key").to_numpy()
+        for lo in range(0, len(q) if len(x) else 0, 64):
+            scores = np.round(q[lo : lo + 64] @ x.T, 6)
+            least = np.partition(scores, -k, axis=1)[:, -k, None] if k < len(x) else np.full((len(scores), 1), -np.inf)
+            row, at = np.nonzero(scores >= least)
+            order = np.lexsort((names[at], -scores[row, at], row))
+            row, at = row[order], at[order]
+            first = np.searchsorted(row, np.arange(len(scores)))[row]
+            row, at = (c[np.arange(len(row)) - first < k] for c in (row, at))
+            ids.append(asked.column("key").to_numpy()[lo + row])
+            keys.append(names[at])
+            sims.append(scores[row, at])
+        columns = [np.concatenate(c) if c else [] for c in (ids, keys, sims)]
+        return pa.table([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["question_id", "key", "similarity"])
+
+    groups = ("width", "block", "cell")
+    found = dealt.groupBy(*groups).cogroup(asking.groupBy(*groups)).applyInArrow(best, "question_id long, key long, similarity double")
+    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("similarity"), "key"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("question_id", F.col("key").alias(key), "similarity", F.col("rank").cast("long").alias("rank"))
 
 
 BATCH = 10_000
@@ -76,8 +137,6 @@ def ivf_cells(vectors: DataFrame, k: int, seed: int = 1, sample: float = 1.0, ve
 
 def ivf_topk(indexed: DataFrame, centres: list[list[float]], query: list[float], k: int = 8, probes: int = PROBES, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Approximate top k: only the ``probes`` cells nearest to the query are scanned, by a filter that prunes."""
-    import numpy as np
-
     near = np.argsort(((np.array(centres) - np.array(query)) ** 2).sum(1), kind="stable")[:probes]
     return cosine_topk(indexed.filter(F.col("cell").isin(*map(int, near))), query, k, key, vector)
 

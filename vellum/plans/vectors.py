@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.functions.tables import shared_folder
 from vellum.operators import clustering as K
+from vellum.operators import graph_index as G
 from vellum.operators import mlp
 from vellum.operators import vectors as V
 
@@ -27,7 +31,7 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cosine_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir)
     questions = df.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("question"))
-    return V.in_blocks(questions, lambda part: V.cosine_topk_batch(df, part)).select("question_id", "vec_id", "similarity", F.col("rank").cast("long"))
+    return V.cosine_topk_table(df, questions)
 
 
 def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +42,15 @@ def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("question_id", "vec_id", "similarity", F.col("rank").cast("long"))
 
 
+def nsw_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored graph index of the whole table, read back and asked every vec_id % 100 = 0."""
+    df = table(spark, sf_dir)
+    width, path = len(first_vector(df)) or 1, f"{shared_folder(spark, 'indexes')}/nsw-{uuid.uuid4().hex}"
+    G.write(G.build(df, width), path)
+    questions = df.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("question"))
+    return G.search(G.read(spark, path), questions, width).select("question_id", F.col("key").alias("vec_id"), "similarity", "rank")
+
+
 def centres(spark: SparkSession, sf_dir: str) -> list[list[float]]:
     """Means of the labels, in their order: fixed centres for the queries below."""
     df = table(spark, sf_dir)
@@ -92,7 +105,7 @@ def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.blobs(spark, 2000, [[0.2, 2.3], [-1.5, 2.3], [-2.8, 1.8], [-2.8, 2.8], [-2.8, 1.3]], [0.4, 0.3, 0.1, 0.1, 0.1])
 
 
-QUERIES = {f.__name__: f for f in (cosine_topk, cosine_topk_batch, ivf_topk, lloyd_step, inertia, silhouette, voronoi, one_hot, mlp_forward, mlp_train, kmeans_fit, blobs)}
+QUERIES = {f.__name__: f for f in (cosine_topk, cosine_topk_batch, ivf_topk, nsw_topk, lloyd_step, inertia, silhouette, voronoi, one_hot, mlp_forward, mlp_train, kmeans_fit, blobs)}
 CENTRES = """parts AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings),
     means AS (SELECT label, k, round(avg(x), 9) AS m FROM parts GROUP BY label, k), numbered AS (SELECT label, k, m, dense_rank() OVER (ORDER BY label) - 1 AS cluster FROM means),
     dist AS (SELECT vec_id, cluster, sum((x - m) * (x - m)) AS d FROM parts JOIN numbered USING (k) GROUP BY vec_id, cluster),
@@ -113,7 +126,7 @@ ORACLES = {
         ORDER BY similarity DESC, vec_id LIMIT 8""",
     "cosine_topk_batch": """WITH scored AS (SELECT q.vec_id AS question_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity
         FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q)
-        SELECT question_id, vec_id, similarity, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, vec_id) AS n FROM scored) WHERE n <= 8""",
+        SELECT question_id, vec_id, similarity, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, vec_id) AS n FROM scored WHERE similarity IS NOT NULL) WHERE n <= 8""",
     "lloyd_step": f"""WITH {CENTRES} SELECT cluster, count(*) AS points, round(avg(embedding[1]::DOUBLE), 6) AS x0, round(avg(embedding[2]::DOUBLE), 6) AS x1 FROM near JOIN embeddings USING (vec_id) GROUP BY cluster""",
     "inertia": f"WITH {CENTRES} SELECT round(sum(d), 6) AS inertia, round(-sum(d), 6) AS score FROM near",
     "silhouette": """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), pairs AS (SELECT a.vec_id, a.label, b.label AS other, list_distance(a.e, b.e) AS d FROM v a, v b WHERE a.vec_id <> b.vec_id),
