@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.functions.tables import spread
+from vellum.functions.tables import shared_folder, spread
+from vellum.operators import agent as A
 from vellum.operators import batching as B
 from vellum.operators import chunking as K
 from vellum.plans.cleaning import MARKDOWN, markdown
 from vellum.sources import files
+from vellum.sources.store import Store, load
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +63,39 @@ def greedy_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.greedy_batches(estimated(spark, sf_dir), **CAPS)
 
 
+def batched_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of rows that carry their whole text, in the order of a string."""
+    tokens = F.greatest(F.lit(1), F.floor(F.col("n_chars") / 4)).cast("long")
+    items = documents(spark, sf_dir).select(F.concat("lang", F.lit("/"), F.format_string("%09d", "doc_id")).alias("id"), tokens.alias("tokens"), "text")
+    return B.greedy_batches(items, **CAPS).select("id", "batch", F.md5("text").alias("text_md5"))
+
+
+def loaded_turns(spark: SparkSession, sf_dir: str) -> tuple[Store, int]:
+    """A store of conversation turns after a load of first turns, as one that stopped there leaves it, and a load of all
+    that goes on from it; and the version of the first."""
+    turns = spread(table(spark, sf_dir, "conversations"))
+    tokens = F.greatest(F.lit(1), F.floor(F.length("text") / 4)).cast("long")
+    chunks = turns.select(F.concat_ws(":", "conv_id", "turn").alias("id"), "conv_id", "turn", "text", tokens.alias("tokens"))
+    schema = A.embed(chunks, "text", A.hashed_embedding()).drop("text").schema
+    store = Store(spark, f"{shared_folder(spark, 'stores')}/turns-{uuid.uuid4().hex}", schema, buckets=16)
+    embed = lambda df: A.embed(df, "text", A.hashed_embedding()).drop("text")
+    first = load(chunks.filter("turn = 0"), store, embed, "hashed", per_commit=1 << 20, **CAPS)
+    load(chunks, store, embed, "hashed", per_commit=1 << 20, **CAPS)
+    return store, first[-1] if first else -1
+
+
+def stored_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, first = loaded_turns(spark, sf_dir)
+    early = store.chunks(first).select("id", F.lit(True).alias("early"))
+    return store.chunks().join(early, "id", "left").select("id", "conv_id", "turn", "tokens", F.coalesce("early", F.lit(False)).alias("early"), F.size("embedding").cast("long").alias("width"))
+
+
+def load_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, first = loaded_turns(spark, sf_dir)
+    early = store.ledger(first).select("load").distinct().withColumn("early", F.lit(True))  # a row for each load
+    return store.ledger().join(F.broadcast(early), "load", "left").select(F.coalesce("early", F.lit(False)).alias("early"), "batch", "chunks", "tokens")
+
+
 def budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.within_budget(B.batch_totals(greedy_batches(spark, sf_dir)), used=1000, limit=60_000)
 
@@ -121,7 +158,7 @@ def rejoined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        dedup_chunks, chunk_ids, blocks, chunk_fold, chunk_cols, chunk_summary, greedy_batches, budget_prefix, vector_plan, pending_anti, pilot_semi, pilot_missing,
+        dedup_chunks, chunk_ids, blocks, chunk_fold, chunk_cols, chunk_summary, greedy_batches, batched_texts, stored_turns, load_ledger, budget_prefix, vector_plan, pending_anti, pilot_semi, pilot_missing,
         manifest_left, ocr_flag, tokens_used, upsert_new, select_keep, rejoined_lines,
     )
 }
@@ -132,6 +169,19 @@ FOLD = """items AS (SELECT {id} AS id, greatest(1, n_chars // 4) AS tokens FROM
     totals AS (SELECT batch, count(*) AS texts, sum(tokens)::BIGINT AS tokens FROM folded GROUP BY batch),
     running AS (SELECT *, {used} + coalesce(sum(tokens) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + floor(tokens * 1.25) AS need FROM totals),
     fitting AS (SELECT batch, texts, tokens FROM running WHERE batch < coalesce((SELECT min(batch) FROM running WHERE need > {limit}), 1000000000))"""
+
+
+def fold_sql(name: str, source: str) -> str:
+    """Greedy batches over ``source`` (id, tokens) in the order of id, as the table ``name``."""
+    full = "f.texts >= 12 OR f.total + p.tokens > 6000"
+    return f"""{name}_placed AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM ({source})),
+    {name} AS (SELECT n, id, tokens, 0 AS batch, 1 AS texts, tokens AS total FROM {name}_placed WHERE n = 1 UNION ALL
+        SELECT p.n, p.id, p.tokens, CASE WHEN {full} THEN f.batch + 1 ELSE f.batch END, CASE WHEN {full} THEN 1 ELSE f.texts + 1 END, CASE WHEN {full} THEN p.tokens ELSE f.total + p.tokens END
+        FROM {name} f JOIN {name}_placed p ON p.n = f.n + 1)"""
+
+
+TURNS = "SELECT conv_id || ':' || turn AS id, greatest(1, length(text) // 4)::BIGINT AS tokens FROM conversations WHERE turn"
+TEXTS = "SELECT lang || '/' || printf('%09d', doc_id) AS id, greatest(1, n_chars // 4)::BIGINT AS tokens, text FROM documents"
 ALL = FOLD.format(id="doc_id", where="", used=1000, limit=60000)
 ORACLES = {
     "dedup_chunks": r"""SELECT doc_id, CASE WHEN trim(text) = '' THEN 0 ELSE greatest(1, length(text) // 4) END::INTEGER AS tokens FROM (SELECT *, row_number() OVER (PARTITION BY sha1(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) ORDER BY doc_id) AS n FROM documents) WHERE n = 1""",
@@ -141,6 +191,10 @@ ORACLES = {
         SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY page, k) - 1)::INTEGER AS block_no, kind, text, page::INTEGER AS page, 'Sección ' || page AS path, level::INTEGER AS level FROM found""",
     "chunk_ids": r"SELECT doc_id, substring(sha1(source || '#' || doc_id), 1, 16) AS id, source || ' Anatomia de ' || lang AS title FROM documents",
     "greedy_batches": f"WITH RECURSIVE {ALL} SELECT id, tokens, batch::BIGINT AS batch FROM folded",
+    "batched_texts": f"WITH RECURSIVE {fold_sql('folded', TEXTS)} SELECT id, batch::BIGINT AS batch, md5(t.text) AS text_md5 FROM folded JOIN ({TEXTS}) t USING (id)",
+    "stored_turns": f"SELECT id, conv_id, turn, t.tokens, turn = 0 AS early, 64::BIGINT AS width FROM conversations JOIN ({TURNS} >= 0) t ON t.id = conv_id || ':' || turn",
+    "load_ledger": f"""WITH RECURSIVE {fold_sql('a', TURNS + ' = 0')}, {fold_sql('b', TURNS + ' <> 0')}
+        SELECT early, batch::BIGINT AS batch, count(*) AS chunks, sum(tokens)::BIGINT AS tokens FROM (SELECT true AS early, batch, tokens FROM a UNION ALL SELECT false, batch, tokens FROM b) GROUP BY early, batch""",
     "budget_prefix": f"WITH RECURSIVE {ALL} SELECT batch::BIGINT AS batch, texts, tokens FROM fitting",
     "vector_plan": f"WITH RECURSIVE {FOLD.format(id='doc_id', where='WHERE doc_id NOT IN (SELECT doc_id FROM labels)', used=0, limit=40000)} SELECT id, tokens, batch::BIGINT AS batch FROM folded WHERE batch IN (SELECT batch FROM fitting)",
     "pending_anti": "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
