@@ -12,6 +12,7 @@ from vellum.functions.tables import shared_folder, spread
 from vellum.operators import agent as A
 from vellum.operators import batching as B
 from vellum.operators import chunking as K
+from vellum.operators.html import pages_to_markdown
 from vellum.plans.cleaning import MARKDOWN, markdown
 from vellum.sources import files
 from vellum.sources.store import Store, load
@@ -96,6 +97,11 @@ def load_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.ledger().join(F.broadcast(early), "load", "left").select(F.coalesce("early", F.lit(False)).alias("early"), "batch", "chunks", "tokens")
 
 
+def pages_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as sanitised Markdown."""
+    return pages_to_markdown(spread(table(spark, sf_dir, "pages"))).select("page_id", "url", "title", "headings", "links", "tables", "markdown")
+
+
 def budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.within_budget(B.batch_totals(greedy_batches(spark, sf_dir)), used=1000, limit=60_000)
 
@@ -158,7 +164,7 @@ def rejoined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        dedup_chunks, chunk_ids, blocks, chunk_fold, chunk_cols, chunk_summary, greedy_batches, batched_texts, stored_turns, load_ledger, budget_prefix, vector_plan, pending_anti, pilot_semi, pilot_missing,
+        dedup_chunks, chunk_ids, blocks, chunk_fold, chunk_cols, chunk_summary, greedy_batches, batched_texts, stored_turns, load_ledger, pages_markdown, budget_prefix, vector_plan, pending_anti, pilot_semi, pilot_missing,
         manifest_left, ocr_flag, tokens_used, upsert_new, select_keep, rejoined_lines,
     )
 }
