@@ -26,6 +26,12 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library has written, on whichever file system it lies."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over as many partitions as the session has cores, where its scan gives fewer, as for a file of one row
     group. A table of more partitions is left as it is, so nothing large is moved."""

@@ -96,6 +96,14 @@ def mlp_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mlp.train(rows)
 
 
+def mlp_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Epoch and error of a network that learns the label from all components, by four gradients an epoch."""
+    df = table(spark, sf_dir)
+    rows = df.select(F.col("vec_id").alias("id"), V.as_double(F.col("embedding")).alias("inputs"), F.transform(mlp.one_hot(F.col("label"), 8), lambda x: x.cast("double")).alias("wanted"))
+    _, errors = mlp.descend(rows, (len(first_vector(df)) or 1, 16, 8), rate=8.0, epochs=20, batches=4)
+    return spark.createDataFrame([(n, round(e, 6)) for n, e in enumerate(errors)], "epoch int, error double")
+
+
 def kmeans_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted = K.kmeans(table(spark, sf_dir), 5)
     return K.assign(table(spark, sf_dir), [list(map(float, c)) for c in fitted.clusterCenters()]).select("vec_id", "cluster")
@@ -105,7 +113,7 @@ def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.blobs(spark, 2000, [[0.2, 2.3], [-1.5, 2.3], [-2.8, 1.8], [-2.8, 2.8], [-2.8, 1.3]], [0.4, 0.3, 0.1, 0.1, 0.1])
 
 
-QUERIES = {f.__name__: f for f in (cosine_topk, cosine_topk_batch, ivf_topk, nsw_topk, lloyd_step, inertia, silhouette, voronoi, one_hot, mlp_forward, mlp_train, kmeans_fit, blobs)}
+QUERIES = {f.__name__: f for f in (cosine_topk, cosine_topk_batch, ivf_topk, nsw_topk, lloyd_step, inertia, silhouette, voronoi, one_hot, mlp_forward, mlp_train, mlp_gradient, kmeans_fit, blobs)}
 CENTRES = """parts AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings),
     means AS (SELECT label, k, round(avg(x), 9) AS m FROM parts GROUP BY label, k), numbered AS (SELECT label, k, m, dense_rank() OVER (ORDER BY label) - 1 AS cluster FROM means),
     dist AS (SELECT vec_id, cluster, sum((x - m) * (x - m)) AS d FROM parts JOIN numbered USING (k) GROUP BY vec_id, cluster),
