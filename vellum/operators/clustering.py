@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.functions.tables import remove, shared_folder, spread, totals
 from vellum.operators.vectors import as_double
 
+BLOCK_BYTES = 1 << 24  # vectors and bounds of a block
+SLACK = 1 + 1e-9  # a bound counts only where it is beyond what rounding could change
+STATE = "x binary, own binary, upper binary, lower binary, stats binary"
+
 
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
@@ -18,9 +28,10 @@ def centre_literal(centres: list[list[float]]) -> Column:
 
 
 def assign(points: DataFrame, centres: list[list[float]], vector: str = "embedding") -> DataFrame:
-    """Adds cluster, the nearest centre (the first of equally near ones), and squared distance; one scan, no shuffle."""
+    """Adds cluster, the nearest centre (the first of equally near ones), and squared distance, both null for a null vector; one
+    scan, no shuffle."""
     near = F.transform(centre_literal(centres), lambda c, i: F.struct(squared_distance(as_double(F.col(vector)), c).alias("d"), i.alias("i")))
-    df = points.withColumn("_near", F.array_min(near))
+    df = points.withColumn("_near", F.when(F.col(vector).isNotNull(), F.array_min(near)))
     return df.withColumns({"cluster": F.col("_near.i"), "distance2": F.col("_near.d")}).drop("_near")
 
 
@@ -47,6 +58,100 @@ def lloyd(points: DataFrame, centres: list[list[float]], steps: int = 1, vector:
     return centres
 
 
+def nearest(x: np.ndarray, own: np.ndarray, upper: np.ndarray, lower: np.ndarray, centres: np.ndarray) -> int:
+    """Moves points to their nearest centres (the first of equally near ones), in place, and returns how many distances
+    that took. ``upper`` is at least the distance to the own centre, ``lower`` at most that to each centre."""
+    between = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(2))
+    np.fill_diagonal(between, np.inf)
+    loose = upper * SLACK >= between.min(1)[own] / 2
+    rows = np.flatnonzero(loose)
+    tight, tried = np.zeros(len(x), dtype=bool), 0
+    for c in range(len(centres)):
+        beaten = lambda r: (own[r] != c) & (upper[r] * SLACK >= lower[r, c]) & (upper[r] * SLACK >= between[own[r], c] / 2)  # noqa: B023, E731
+        near = rows[beaten(rows)]
+        stale = near[~tight[near]]
+        upper[stale] = np.sqrt(((x[stale] - centres[own[stale]]) ** 2).sum(1))
+        lower[stale, own[stale]] = upper[stale]
+        tight[stale] = True
+        near = near[beaten(near)]
+        lower[near, c] = np.sqrt(((x[near] - centres[c]) ** 2).sum(1))
+        tried += len(stale) + len(near)
+        closer = near[(lower[near, c] < upper[near]) | ((lower[near, c] == upper[near]) & (c < own[near]))]
+        own[closer], upper[closer] = c, lower[closer, c]
+    return tried
+
+
+def elkan(points: DataFrame, centres: list[list[float]], steps: int = 1, vector: str = "embedding") -> tuple[list[list[float]], list[int]]:
+    """The centres of ``lloyd`` after ``steps``, or when no point moves any more, and how many distances each step took.
+
+    By the triangle inequality: each point keeps an upper bound of the distance to its centre and a lower bound for every centre, and
+    both follow the centres' moves, so a distance is evaluated only where the bounds leave it open. Vectors stand with their
+    bounds in blocks, written anew by each step, as the next one reads both; sums of the blocks are what is
+    aggregated. Vectors that are null, hold a null or have another length take no part; a centre without points stays.
+    Centres come to the driver, points don't.
+    """
+    spark, k, width = points.sparkSession, len(centres), len(centres[0])
+    most = max(1, BLOCK_BYTES // (8 * (width + k + 2)))
+    v = F.col(vector)
+    usable = spread(points.filter((F.size(v) == width) & ~F.exists(v, lambda x: x.isNull())).select(as_double(v).alias("v")))
+    folder = f"{shared_folder(spark, 'elkan')}/elkan-{uuid.uuid4().hex}"
+
+    def state(x: np.ndarray, own: np.ndarray, upper: np.ndarray, lower: np.ndarray, tried: int, moved: int) -> pa.RecordBatch:
+        member = (own[:, None] == np.arange(k)).astype(float)
+        stats = np.concatenate([(member.T @ x).ravel(), member.sum(0), (tried, moved)])
+        return pa.RecordBatch.from_pydict({name: [m.tobytes()] for name, m in zip(("x", "own", "upper", "lower", "stats"), (x, own, upper, lower, stats))})
+
+    def first(now: np.ndarray):
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                for lo in range(0, part.num_rows, most):
+                    x = part.column(0).slice(lo, most).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                    lower = np.stack([np.sqrt(((x - c) ** 2).sum(1)) for c in now], 1)
+                    own = lower.argmin(1)
+                    yield state(x, own, lower.min(1), lower, lower.size, len(x))
+
+        return run
+
+    def further(now: np.ndarray, gone: np.ndarray):
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                for row in zip(*(part.column(name) for name in ("x", "own", "upper", "lower"))):
+                    x, own, upper, lower = (np.frombuffer(m.as_buffer(), dtype).copy() for m, dtype in zip(row, (float, np.int64, float, float)))
+                    x, lower, before = x.reshape(-1, width), lower.reshape(-1, k), own.copy()
+                    lower = np.maximum(lower - gone, 0)
+                    upper += gone[own]
+                    tried = nearest(x, own, upper, lower, now)
+                    yield state(x, own, upper, lower, tried, int((own != before).sum()))
+
+        return run
+
+    def sums(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(k * width + k + 2)
+        for part in parts:
+            for row in part.column(0):
+                out += np.frombuffer(row.as_buffer())
+        yield pa.RecordBatch.from_pydict({"k": pa.array(np.arange(len(out), dtype="int32")), "value": pa.array(out)})
+
+    now, gone, taken = np.array(centres, dtype=float), np.zeros(k), []
+    try:
+        for n in range(steps):
+            last, path = f"{folder}/{n - 1}", f"{folder}/{n}"
+            held = usable.mapInArrow(first(now), STATE) if n == 0 else spark.read.schema(STATE).parquet(last).mapInArrow(further(now, gone), STATE)
+            held.write.parquet(path)
+            if n:
+                remove(spark, last)
+            found = totals(spark.read.schema(STATE).parquet(path).select("stats").mapInArrow(sums, "k int, value double"), k * width + k + 2)
+            total, size = found[: k * width].reshape(k, width), found[k * width : -2]
+            taken.append(int(found[-2]))
+            if not found[-1]:
+                break
+            after = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], now)
+            now, gone = after, np.sqrt(((after - now) ** 2).sum(1))
+    finally:
+        remove(spark, folder)
+    return now.tolist(), taken
+
+
 def kmeans(points: DataFrame, k: int, seed: int = 1, tries: int = 1, vector: str = "embedding"):
     """The library's fit of least cost over ``tries`` seeds, on a vector column."""
     from pyspark.ml.clustering import KMeans
@@ -67,7 +172,6 @@ def silhouette(points: DataFrame, cluster: str, key: str = "vec_id", vector: str
     Every point needs its mean distance to every cluster, which is quadratic in the points by definition. Points are
     dealt into blocks; each pair of blocks is one task that adds up distances in numpy, so no pair of points is a row.
     """
-    import numpy as np
     import pandas as pd
 
     rows = points.select(F.col(key).alias("k"), F.col(cluster).cast("long").alias("c"), as_double(F.col(vector)).alias("v"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.functions.tables import remove, shared_folder, spread
+from vellum.functions.tables import remove, shared_folder, spread, totals
 
 SIZES = (4, 3, 3, 3, 3)
 RATE = 0.03
@@ -66,15 +66,6 @@ def unflat(values: np.ndarray, sizes: tuple[int, ...]) -> Layers:
     return out
 
 
-def totals(numbered: DataFrame, length: int) -> np.ndarray:
-    """The sum of all partitions' vectors, which come as rows of k and value: partial sums where they arise, then one
-    sum for each place, spread over the shuffle's partitions."""
-    out = np.zeros(length)
-    for r in numbered.groupBy("k").agg(F.sum("value").alias("value")).collect():  # a row for each parameter
-        out[r["k"]] = r["value"]
-    return out
-
-
 def online(inputs: np.ndarray, wanted: np.ndarray, sizes: np.ndarray, layers: Layers, rate: float, epochs: int) -> tuple[Layers, np.ndarray]:
     """Copies trained side by side, a sample of each at a time: ``inputs`` is copies x samples x width, the first
     ``sizes[i]`` samples of a copy count. Each layer is updated before its delta goes on to the layer below. Returns

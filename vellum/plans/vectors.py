@@ -64,6 +64,13 @@ def lloyd_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("cluster").cast("long").alias("cluster"), "points", "x0", "x1")
 
 
+def elkan_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, component, value: all components of the centres after three steps from the labels' means."""
+    start = centres(spark, sf_dir)
+    found, _ = K.elkan(table(spark, sf_dir), start, ELKAN_STEPS) if start else ([], [])
+    return spark.createDataFrame([(c, k, round(x, 6)) for c, row in enumerate(found) for k, x in enumerate(row)], "cluster long, component long, value double")
+
+
 def inertia(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.inertia(table(spark, sf_dir), centres(spark, sf_dir))
 
@@ -113,13 +120,26 @@ def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.blobs(spark, 2000, [[0.2, 2.3], [-1.5, 2.3], [-2.8, 1.8], [-2.8, 2.8], [-2.8, 1.3]], [0.4, 0.3, 0.1, 0.1, 0.1])
 
 
-QUERIES = {f.__name__: f for f in (cosine_topk, cosine_topk_batch, ivf_topk, nsw_topk, lloyd_step, inertia, silhouette, voronoi, one_hot, mlp_forward, mlp_train, mlp_gradient, kmeans_fit, blobs)}
+QUERIES = {f.__name__: f for f in (cosine_topk, cosine_topk_batch, ivf_topk, nsw_topk, lloyd_step, elkan_steps, inertia, silhouette, voronoi, one_hot, mlp_forward, mlp_train, mlp_gradient, kmeans_fit, blobs)}
 CENTRES = """parts AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings),
     means AS (SELECT label, k, round(avg(x), 9) AS m FROM parts GROUP BY label, k), numbered AS (SELECT label, k, m, dense_rank() OVER (ORDER BY label) - 1 AS cluster FROM means),
     dist AS (SELECT vec_id, cluster, sum((x - m) * (x - m)) AS d FROM parts JOIN numbered USING (k) GROUP BY vec_id, cluster),
     near AS (SELECT vec_id, cluster, d FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, cluster) AS n FROM dist) WHERE n = 1)"""
 
 
+ELKAN_STEPS = 3
+
+
+def lloyd_sql(steps: int) -> str:
+    """Centres m0 to m{steps}, each the means of the vectors nearest to the ones before; a centre without vectors stays."""
+    parts = ["m0 AS (SELECT cluster, k, m FROM numbered)"]
+    for n in range(steps):
+        parts.append(f"d{n} AS (SELECT vec_id, cluster, sum((x - m) * (x - m)) AS d FROM parts JOIN m{n} USING (k) GROUP BY vec_id, cluster)")
+        parts.append(f"n{n} AS (SELECT vec_id, cluster FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, cluster) AS n FROM d{n}) WHERE n = 1)")
+        parts.append(f"m{n + 1} AS (SELECT cluster, k, coalesce(a.m, b.m) AS m FROM m{n} b LEFT JOIN (SELECT cluster, k, avg(x) AS m FROM n{n} JOIN parts USING (vec_id) GROUP BY cluster, k) a USING (cluster, k))")
+    return ", ".join(parts)
+
+
 def unit(weights: list[float], bias: float, names: list[str]) -> str:
     return "1 / (1 + exp(-(" + " + ".join([str(bias), *(f"({w}) * {n}" for w, n in zip(weights, names))]) + ")))"
 
@@ -136,6 +156,7 @@ ORACLES = {
         FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q)
         SELECT question_id, vec_id, similarity, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, vec_id) AS n FROM scored WHERE similarity IS NOT NULL) WHERE n <= 8""",
     "lloyd_step": f"""WITH {CENTRES} SELECT cluster, count(*) AS points, round(avg(embedding[1]::DOUBLE), 6) AS x0, round(avg(embedding[2]::DOUBLE), 6) AS x1 FROM near JOIN embeddings USING (vec_id) GROUP BY cluster""",
+    "elkan_steps": f"WITH {CENTRES}, {lloyd_sql(ELKAN_STEPS)} SELECT cluster, k - 1 AS component, round(m, 6) AS value FROM m{ELKAN_STEPS}",
     "inertia": f"WITH {CENTRES} SELECT round(sum(d), 6) AS inertia, round(-sum(d), 6) AS score FROM near",
     "silhouette": """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), pairs AS (SELECT a.vec_id, a.label, b.label AS other, list_distance(a.e, b.e) AS d FROM v a, v b WHERE a.vec_id <> b.vec_id),
         m AS (SELECT vec_id, label, other, avg(d) AS d FROM pairs GROUP BY vec_id, label, other), ab AS (SELECT vec_id, label, max(CASE WHEN label = other THEN d END) AS a, min(CASE WHEN label <> other THEN d END) AS b FROM m GROUP BY vec_id, label)
