@@ -21,8 +21,8 @@ from vellum.functions.tables import remove, shared_folder, spread, totals
 SIZES = (4, 3, 3, 3, 3)
 RATE = 0.03
 EPOCHS = 500
-SHARE = 4096  # rows of a copy of the network
-SIDE = 16  # copies that a task trains side by side
+SHARE = 1024  # rows of a copy of the network
+SIDE = 128  # copies that a task trains side by side
 LOCAL = 25  # epochs between two averages
 
 Layers = list[tuple[np.ndarray, np.ndarray]]
@@ -67,25 +67,27 @@ def unflat(values: np.ndarray, sizes: tuple[int, ...]) -> Layers:
 
 
 def online(inputs: np.ndarray, wanted: np.ndarray, sizes: np.ndarray, layers: Layers, rate: float, epochs: int) -> tuple[Layers, np.ndarray]:
-    """Copies trained side by side, a sample of each at a time: ``inputs`` is copies x samples x width, the first
+    """Copies trained side by side, a sample of each at a time: ``inputs`` is samples x width x copies, the first
     ``sizes[i]`` samples of a copy count. Each layer is updated before its delta goes on to the layer below. Returns
-    the copies' layers and, for each epoch, the summed squared error."""
-    w = [np.repeat(a[None], len(inputs), 0) for a, _ in layers]
-    c = [np.repeat(b[None], len(inputs), 0) for _, b in layers]
-    errors = np.zeros(epochs)
+    the copies' layers, copies last, and, for each epoch, the summed squared error."""
+    copies = inputs.shape[2]
+    w = [np.repeat(a[:, :, None], copies, 2) for a, _ in layers]
+    c = [np.repeat(b[:, None], copies, 1) for _, b in layers]
+    errors, least = np.zeros(epochs), sizes.min()
     for epoch in range(epochs):
-        for i in range(inputs.shape[1]):
-            there = (i < sizes)[:, None]
-            acts = [inputs[:, i]]
+        for i, (x, y) in enumerate(zip(inputs, wanted)):
+            acts = [x]
             for a, b in zip(w, c):
-                acts.append(1 / (1 + np.exp(-((a @ acts[-1][:, :, None])[:, :, 0] + b))))
-            back = np.where(there, acts[-1] - wanted[:, i], 0.0)
+                acts.append(1 / (1 + np.exp(-((a * acts[-1]).sum(1) + b))))
+            back = acts[-1] - y if i < least else np.where(i < sizes, acts[-1] - y, 0.0)
             errors[epoch] += (back * back).sum()
             for k in range(len(w) - 1, -1, -1):
                 delta = back * acts[k + 1] * (1 - acts[k + 1])
-                w[k] -= rate * delta[:, :, None] * acts[k][:, None, :]
-                c[k] -= rate * delta
-                back = (delta[:, None, :] @ w[k])[:, 0]
+                step = rate * delta
+                w[k] -= step[:, None] * acts[k]
+                c[k] -= step
+                if k:
+                    back = (w[k] * delta[:, None]).sum(0)
     return list(zip(w, c)), errors
 
 
@@ -109,11 +111,11 @@ def train(rows: DataFrame, sizes: tuple[int, ...] = SIZES, rate: float = RATE, e
         def run(data: pd.DataFrame) -> pd.DataFrame:
             parts = [part.sort_values("id") for _, part in data.groupby("share")]
             lengths = np.array([len(part) for part in parts])
-            x, y = (np.zeros((len(parts), lengths.max(), width)) for width in (sizes[0], sizes[-1]))
+            x, y = (np.zeros((lengths.max(), width, len(parts))) for width in (sizes[0], sizes[-1]))
             for i, part in enumerate(parts):
-                x[i, : len(part)], y[i, : len(part)] = np.stack(part["inputs"]), np.stack(part["wanted"])
+                x[: len(part), :, i], y[: len(part), :, i] = np.stack(part["inputs"]), np.stack(part["wanted"])
             trained, errors = online(x, y, lengths, layers, rate, steps)
-            weighted = [(np.tensordot(lengths, w, 1), lengths @ c) for w, c in trained]
+            weighted = [(w @ lengths, c @ lengths) for w, c in trained]
             value = np.concatenate([flat(weighted), errors])
             return pd.DataFrame({"k": np.arange(len(value), dtype="int32"), "value": value})
 
