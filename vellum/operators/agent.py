@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.functions.tables import shared_checkpoint
+
 # Limits and texts of the agent.
 LAST_TURNS = 6
 FRAGMENT_CHARS = 2500
@@ -142,12 +144,13 @@ def answer_questions(questions: DataFrame, reformulate, search, evaluate, write,
 
     ``reformulate(df)`` adds query from question and tried (array of queries); ``search(df)`` adds fragments (array);
     ``evaluate(df)`` adds picked (array<int>, from 1); ``write(df)`` adds answer from question and relevant. Each pass
-    takes the questions without relevant fragments; there are ``searches`` passes at most.
+    takes the questions without relevant fragments; there are ``searches`` passes at most. A pass is written once and only
+    read by its events, the answers and the next pass, so ports are called once for each open question.
     """
     open_ = questions.select("question_id", "question", F.array().cast("array<string>").alias("tried"))
     solved, events = None, None
     for n in range(searches):
-        df = evaluate(search(reformulate(open_)))
+        df = shared_checkpoint(evaluate(search(reformulate(open_))))
         df = df.withColumn("relevant", F.transform(useful(F.col("picked"), F.size("fragments")), lambda k: F.element_at(F.col("fragments"), k)))
         step = lambda node, seq, **data: df.select("question_id", F.lit(3 * n + seq).alias("seq"), F.lit("paso").alias("kind"), F.to_json(F.struct(F.lit(node).alias("nodo"), *(c.alias(k) for k, c in data.items()))).alias("data"))  # noqa: B023, E731
         log = step("reformular", 0, consulta=F.col("query")).unionAll(step("buscar", 1, fragmentos=F.size("fragments"))).unionAll(step("evaluar", 2, relevantes=F.size("relevant")))

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.functions.tables import spread
+from vellum.functions.tables import shared_checkpoint, spread
 from vellum.operators import agent as A
 from vellum.operators import graphs as G
 from vellum.operators import vectors as V
 
 
+LEAST = 0.45  # similarity of a fragment that the stand-in for the model takes
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/conversations.parquet")
 
@@ -57,32 +58,33 @@ def answer_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     f = F.struct(F.col("doc_id").alias("id"), A.citation(F.concat(F.lit("Libro "), "source"), (F.col("doc_id") % 50 + 1).cast("int"), (F.col("doc_id") % 50 + 1 + F.col("doc_id") % 2).cast("int")).alias("cite"), F.array("source").alias("path"), F.array().cast("array<string>").alias("dubious_units"), F.substring("text", 1, A.FRAGMENT_CHARS).alias("text"))
-    return A.embed(docs.select("doc_id", f.alias("fragment"), "text"), "text", A.hashed_embedding()).select("doc_id", "fragment", "embedding")
+    return docs.select("doc_id", f.alias("fragment"), "text")
 
 
 def ask(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A whole run with offline stand-ins for the ports: the texts of all benchmark items, in blocks of questions."""
+    """A whole run with offline stand-ins for the ports: the texts of all benchmark items. The library is embedded and
+    written once, as ids and vectors; fragments are read for what was found."""
     questions = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
     library = fragments(spark, sf_dir)
+    vectors = shared_checkpoint(A.embed(library, "text", A.hashed_embedding()).select("doc_id", "embedding"))
 
     def reformulate(df: DataFrame) -> DataFrame:
         return df.withColumn("query", F.when(F.size("tried") == 0, F.substring_index("question", ".", 1)).otherwise(F.col("question")))
 
     def search(df: DataFrame) -> DataFrame:
-        asked = A.embed(df, "query", A.hashed_embedding(), "question_vector")
-        scored = V.cosine_topk_batch(library, asked.select("question_id", F.col("question_vector").alias("question")), A.K, "doc_id")
+        asked = shared_checkpoint(A.embed(df, "query", A.hashed_embedding(), "question_vector"))
+        scored = V.cosine_topk_table(vectors, asked.select("question_id", F.col("question_vector").alias("question")), A.K, "doc_id")
         own = scored.join(library.select("doc_id", "fragment"), "doc_id").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "similarity", "fragment"))).alias("hits"))
-        return df.join(own, "question_id", "left").withColumn("fragments", F.coalesce(F.transform("hits", lambda h: h["fragment"]), F.array()))
+        return asked.join(own, "question_id", "left").withColumn("fragments", F.coalesce(F.transform("hits", lambda h: h["fragment"]), F.array()))
 
     def evaluate(df: DataFrame) -> DataFrame:
-        good = F.transform(F.filter("hits", lambda h: h["similarity"] >= 0.45), lambda h: h["rank"])
+        good = F.transform(F.filter("hits", lambda h: h["similarity"] >= LEAST), lambda h: h["rank"].cast("int"))
         return df.withColumn("picked", F.coalesce(good, F.array().cast("array<int>"))).drop("hits")
 
     def write(df: DataFrame) -> DataFrame:
         return df.withColumn("answer", F.concat(F.lit("Según la biblioteca [1]: "), F.substring("question", 1, 40)))
 
-    answers, events = zip(*(A.answer_questions(part, reformulate, search, evaluate, write) for part in V.blocks(questions)))
-    return reduce(DataFrame.unionAll, answers), reduce(DataFrame.unionAll, events)
+    return A.answer_questions(questions, reformulate, search, evaluate, write)
 
 
 def agent_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
