@@ -57,7 +57,7 @@ def ocr_documents(manifest: DataFrame) -> DataFrame:
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
-    """path and markdown, a row for each file."""
+    """path and markdown, a row for each file. Spark's readers pass over files without a byte."""
     return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("markdown"))
 
 

@@ -92,8 +92,17 @@ def write_report(inventory: DataFrame, path: str, order: str) -> None:
     report_lines(inventory, order).orderBy("section", "part", "rank", "name").select("line").write.mode("overwrite").text(path)
 
 
+#: Columns of chunks in files, by their names in tables.
+CHUNK_NAMES = {
+    "id": "id", "title": "documento", "source": "fuente", "specialty": "especialidad", "language": "idioma", "path": "ruta_titulos", "first_page": "pagina_inicio", "last_page": "pagina_fin",
+    "tokens": "tokens", "text": "texto", "embed_text": "texto_para_embedding", "dubious_units": "unidades_dudosas",
+}
+
+
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    chunks.write.mode("overwrite").json(path)
+    """Lines of JSON in place of what ``path`` held, as ``files.read_chunks`` reads them: the columns of
+    ``chunk_documents`` by their names in files; nulls are left out, other columns aren't written."""
+    chunks.select(*(F.col(own).alias(name) for own, name in CHUNK_NAMES.items())).write.mode("overwrite").json(path)
 
 
 def load_batch(new: DataFrame, batch_id: int, store: str, ledger: str, model: str) -> int:
