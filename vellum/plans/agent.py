@@ -58,7 +58,7 @@ def answer_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     f = F.struct(F.col("doc_id").alias("id"), A.citation(F.concat(F.lit("Libro "), "source"), (F.col("doc_id") % 50 + 1).cast("int"), (F.col("doc_id") % 50 + 1 + F.col("doc_id") % 2).cast("int")).alias("cite"), F.array("source").alias("path"), F.array().cast("array<string>").alias("dubious_units"), F.substring("text", 1, A.FRAGMENT_CHARS).alias("text"))
-    return docs.select("doc_id", f.alias("fragment"), "text")
+    return A.embed(docs.select("doc_id", f.alias("fragment"), "text"), "text", A.hashed_embedding()).select("doc_id", "fragment", "embedding")
 
 
 def ask(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -66,7 +66,7 @@ def ask(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     written once, as ids and vectors; fragments are read for what was found."""
     questions = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
     library = fragments(spark, sf_dir)
-    vectors = shared_checkpoint(A.embed(library, "text", A.hashed_embedding()).select("doc_id", "embedding"))
+    vectors = shared_checkpoint(library.select("doc_id", "embedding"))
 
     def reformulate(df: DataFrame) -> DataFrame:
         return df.withColumn("query", F.when(F.size("tried") == 0, F.substring_index("question", ".", 1)).otherwise(F.col("question")))
