@@ -44,13 +44,13 @@ def cosine_topk_batch(vectors: DataFrame, questions: DataFrame, k: int = 8, key:
     return scored.filter(F.col("similarity").isNotNull()).withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """key, v (array<double>) and width of the vectors that have a similarity to others: neither null nor with null or
+def usable(vectors: DataFrame, key: str, vector: str, *more: str) -> DataFrame:
+    """key, v (array<double>), width and ``more`` of the vectors that have a similarity to others: neither null nor with null or
     non-finite components nor all zeros. Rows without a key are left out."""
     v = F.col(vector).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     own = vectors.filter(F.col(key).isNotNull() & F.col(vector).isNotNull())
-    return own.select(F.col(key).cast("long").alias("key"), v.alias("v"), F.size(vector).alias("width"), fine.alias("fine")).filter("fine").drop("fine")
+    return own.select(F.col(key).cast("long").alias("key"), v.alias("v"), F.size(vector).alias("width"), fine.alias("fine"), *more).filter("fine").drop("fine")
 
 
 def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -66,18 +66,17 @@ def unit(x: np.ndarray) -> np.ndarray:
 CELL_BYTES = 8 << 20  # of the vectors of a cell, or the questions of a block, on average
 
 
-def cosine_topk_table(vectors: DataFrame, questions: DataFrame, k: int = 8, key: str = "vec_id", vector: str = "embedding", size: int = CELL_BYTES) -> DataFrame:
-    """question_id, key, similarity, rank: what ``cosine_topk_batch`` gives, for a table of questions of any size.
+def shares(df: DataFrame, size: int) -> int:
+    return max(1, -(-(df.agg(F.sum(8 * F.col("width").cast("long"))).first()[0] or 0) // size))
 
-    Vectors are dealt out to cells and questions to blocks of about ``size`` bytes, by hashes of their keys; a task takes one
-    cell and one block, as a product of matrices, and gives the k best of the cell for each question of the block. The k
-    best of all cells are chosen by a window, which keeps k rows a task before the shuffle."""
-    own, asked = usable(vectors, key, vector), usable(questions, "question_id", "question")
-    share = lambda df: max(1, -(-(df.agg(F.sum(8 * F.col("width").cast("long"))).first()[0] or 0) // size))
-    cells, blocks = share(own), share(asked)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = own.withColumn("cell", F.pmod(F.xxhash64("key", "v"), F.lit(cells)).cast("int")).withColumn("block", every(blocks))
-    asking = asked.withColumn("block", F.pmod(F.xxhash64("key", "v"), F.lit(blocks)).cast("int")).withColumn("cell", every(cells))
+
+def every(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+
+def best_dealt(dealt: DataFrame, asking: DataFrame, groups: tuple[str, ...], k: int, key: str) -> DataFrame:
+    """question_id, key, similarity, rank: the k best vectors (key, v) for each question (key, v) among those that stand in
+    a group with it; the first of ``groups`` is the width."""
 
     def best(group: tuple[pa.Scalar, ...], own: pa.Table, asked: pa.Table) -> pa.Table:
         width, ids, keys, sims = group[0].as_py(), [], [], []
@@ -96,12 +95,25 @@ def cosine_topk_table(vectors: DataFrame, questions: DataFrame, k: int = 8, key:
         columns = [np.concatenate(c) if c else [] for c in (ids, keys, sims)]
         return pa.table([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["question_id", "key", "similarity"])
 
-    groups = ("width", "block", "cell")
     found = dealt.groupBy(*groups).cogroup(asking.groupBy(*groups)).applyInArrow(best, "question_id long, key long, similarity double")
     rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("similarity"), "key"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("question_id", F.col("key").alias(key), "similarity", F.col("rank").cast("long").alias("rank"))
 
 
+def cosine_topk_table(vectors: DataFrame, questions: DataFrame, k: int = 8, key: str = "vec_id", vector: str = "embedding", size: int = CELL_BYTES) -> DataFrame:
+    """question_id, key, similarity, rank: what ``cosine_topk_batch`` gives, for a table of questions of any size.
+
+    Vectors are dealt out to cells and questions to blocks of about ``size`` bytes, by hashes of their keys; a task takes one
+    cell and one block, as a product of matrices, and gives the k best of the cell for each question of the block. The k
+    best of all cells are chosen by a window, which keeps k rows a task before the shuffle."""
+    own, asked = usable(vectors, key, vector), usable(questions, "question_id", "question")
+    cells, blocks = shares(own, size), shares(asked, size)
+    dealt = own.withColumn("cell", F.pmod(F.xxhash64("key", "v"), F.lit(cells)).cast("int")).withColumn("block", every(blocks))
+    asking = asked.withColumn("block", F.pmod(F.xxhash64("key", "v"), F.lit(blocks)).cast("int")).withColumn("cell", every(cells))
+
+    return best_dealt(dealt, asking, ("width", "block", "cell"), k, key)
+
+
 BATCH = 10_000
 PROBES = 6
 
@@ -141,11 +153,28 @@ def ivf_topk(indexed: DataFrame, centres: list[list[float]], query: list[float],
     return cosine_topk(indexed.filter(F.col("cell").isin(*map(int, near))), query, k, key, vector)
 
 
+def near_cells(question: Column, centres: list[list[float]], probes: int) -> Column:
+    """The cells of the ``probes`` centres nearest to the question."""
+    distance2 = lambda c: F.aggregate(F.zip_with(as_double(question), F.array(*map(F.lit, c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    cells = F.array(*(F.struct(distance2(c).alias("distance2"), F.lit(i).alias("cell")) for i, c in enumerate(centres)))
+    return F.slice(F.array_sort(cells), 1, probes)["cell"]
+
+
 def ivf_topk_batch(indexed: DataFrame, centres: list[list[float]], questions: DataFrame, k: int = 8, probes: int = PROBES, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Approximate top k for each of the ``checked`` questions (question_id, question), each in its own ``probes``
     cells."""
-    cells = F.array(*(F.struct(F.aggregate(F.zip_with(as_double(F.col("question")), F.array(*map(F.lit, c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x).alias("distance2"), F.lit(i).alias("cell")) for i, c in enumerate(centres)))
-    near = questions.select("question_id", "question", F.explode(F.slice(F.array_sort(cells), 1, probes)["cell"]).alias("cell"))
+    near = questions.select("question_id", "question", F.explode(near_cells(F.col("question"), centres, probes)).alias("cell"))
     scored = indexed.join(F.broadcast(near), "cell").select("question_id", key, F.round(cosine(F.col(vector), F.col("question")), 6).alias("similarity")).filter(F.col("similarity").isNotNull())
     rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("similarity"), key))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def ivf_topk_table(indexed: DataFrame, centres: list[list[float]], questions: DataFrame, k: int = 8, probes: int = PROBES, key: str = "vec_id", vector: str = "embedding", size: int = CELL_BYTES) -> DataFrame:
+    """What ``ivf_topk_batch`` gives, for a table of questions of any size: each cell is dealt out to parts of about
+    ``size`` bytes at most, and a task takes one part and one block of the questions that probe its cell, as in ``cosine_topk_table``."""
+    own, asked = usable(indexed, key, vector, "cell"), usable(questions, "question_id", "question")
+    parts, blocks = shares(own, size), shares(asked, size)
+    dealt = own.withColumn("part", F.pmod(F.xxhash64("key", "v"), F.lit(parts)).cast("int")).withColumn("block", every(blocks))
+    near = asked.withColumn("cell", F.explode(near_cells(F.col("v"), centres, probes)))
+    asking = near.withColumn("block", F.pmod(F.xxhash64("key", "v"), F.lit(blocks)).cast("int")).withColumn("part", every(parts))
+    return best_dealt(dealt, asking, ("width", "block", "cell", "part"), k, key)

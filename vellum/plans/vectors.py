@@ -38,8 +38,7 @@ def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir)
     indexed, centres = V.ivf_cells(df, 8)
     questions = df.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("question"))
-    found = V.in_blocks(questions, lambda part: V.ivf_topk_batch(indexed, centres, part))
-    return found.select("question_id", "vec_id", "similarity", F.col("rank").cast("long"))
+    return V.ivf_topk_table(indexed, centres, questions)
 
 
 def nsw_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
