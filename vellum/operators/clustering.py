@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.functions.tables import remove, shared_folder, spread, totals
-from vellum.operators.vectors import as_double
+from vellum.functions.tables import remove, shared_checkpoint, shared_folder, spread, totals
+from vellum.operators.vectors import as_double, matrix
 
 BLOCK_BYTES = 1 << 24  # vectors and bounds of a block
 SLACK = 1 + 1e-9  # a bound counts only where it is beyond what rounding could change
@@ -166,42 +167,84 @@ def elbow(points: DataFrame, most: int, vector: str = "embedding") -> list[tuple
     return [(k, kmeans(points, k, vector=vector).summary.trainingCost) for k in range(2, most + 1)]
 
 
-def silhouette(points: DataFrame, cluster: str, key: str = "vec_id", vector: str = "embedding", block: int = 2048) -> DataFrame:
-    """key, cluster, silhouette with Euclidean distances, exactly.
+def far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances between the rows of ``x`` and ``y``, as a product of matrices; where that would lose digits, from differences."""
+    norms = (x**2).sum(1)[:, None] + (y**2).sum(1)
+    squares = norms - 2 * (x @ y.T)
+    norms *= 1e-6
+    row, at = np.nonzero(squares <= norms)
+    for lo in range(0, len(row), 1 << 14):
+        r, c = row[lo : lo + (1 << 14)], at[lo : lo + (1 << 14)]
+        squares[r, c] = ((x[r] - y[c]) ** 2).sum(1)
+    return np.sqrt(squares, out=squares)
 
-    Every point needs its mean distance to every cluster, which is quadratic in the points by definition. Points are
-    dealt into blocks; each pair of blocks is one task that adds up distances in numpy, so no pair of points is a row.
+
+def tiles(length: int, size: int) -> list[slice]:
+    return [slice(lo, lo + size) for lo in range(0, length, size)]
+
+
+def by_place(d: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """Sums over the columns of each cluster; those of one cluster stand side by side."""
+    out, starts = np.zeros((len(d), k)), np.flatnonzero(np.diff(place, prepend=-1))
+    out[:, place[starts]] = np.add.reduceat(d, starts, axis=1)
+    return out
+
+
+def silhouette(points: DataFrame, cluster: str, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK_BYTES) -> DataFrame:
+    """key, cluster, silhouette with Euclidean distances, exactly; 0 for a point without vector or cluster.
+
+    Every point needs its mean distance to every cluster, which is quadratic in the points by definition. Equal vectors
+    of a cluster count as one, with their number. Vectors are dealt into blocks of about ``block`` bytes, with their sums; two
+    blocks meet once, in a task that adds up distances for both, and what comes of it is a row for each block. Clusters are few
+    by nature, their sizes come to the driver.
     """
-    import pandas as pd
-
-    rows = points.select(F.col(key).alias("k"), F.col(cluster).cast("long").alias("c"), as_double(F.col(vector)).alias("v"))
-    n = max(1, -(-rows.count() // block))
-    dealt = rows.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(n)).cast("int"))
-    left = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("b", "other", "k", "c", "v", F.lit(True).alias("own"))
-    right = dealt.withColumn("own_b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.col("own_b").alias("b"), F.col("b").alias("other"), "k", "c", "v", F.lit(False).alias("own"))
-
-    def sums(rows: pd.DataFrame) -> pd.DataFrame:
-        own, other = rows[rows["own"]], rows[~rows["own"]]
-        if own.empty or other.empty:
-            return pd.DataFrame({"k": [], "c": [], "to": [], "total": [], "n": []})
-        a, b = np.stack(own["v"]), np.stack(other["v"])
-        out = []
-        for c in np.unique(other["c"]):
-            part = b[(other["c"] == c).to_numpy()]
-            total = np.zeros(len(a))
-            for lo in range(0, len(part), 256):
-                total += np.sqrt(((a[:, None, :] - part[None, lo : lo + 256, :]) ** 2).sum(2)).sum(1)
-            out.append(pd.DataFrame({"k": own["k"].to_numpy(), "c": own["c"].to_numpy(), "to": c, "total": total, "n": len(part)}))
-        return pd.concat(out)
-
-    found = left.unionAll(right).groupBy("b", "other").applyInPandas(sums, "k long, c long, to long, total double, n long")
-    mean = found.groupBy("k", "c", "to").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-    own = F.max(F.when(F.col("to") == F.col("c"), F.try_divide(F.col("total"), F.col("n") - 1)))
-    size = F.max(F.when(F.col("to") == F.col("c"), F.col("n")))
-    other = F.min(F.when(F.col("to") != F.col("c"), F.col("total") / F.col("n")))
-    out = mean.groupBy("k", "c").agg(own.alias("a"), size.alias("size"), other.alias("b"))
-    value = F.when((F.col("size") <= 1) | F.col("b").isNull(), F.lit(0.0)).otherwise(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")))
-    return out.select(F.col("k").alias(key), F.col("c").alias(cluster), F.coalesce(value, F.lit(0.0)).alias("silhouette"))
+    rows = points.select(F.col(key).alias("k"), F.col(cluster).cast("long").alias("c"), F.col(vector).alias("v"))
+    once = rows.filter(F.col("c").isNotNull() & F.col("v").isNotNull()).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    once = shared_checkpoint(once.withColumn("id", F.monotonically_increasing_id()))
+    found = once.groupBy("c").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("items"), F.max(F.size("v")).alias("width")).orderBy("c").collect()  # a row for each cluster
+    k, width, items = max(1, len(found)), max((r["width"] for r in found), default=1), sum(r["items"] for r in found)
+    clusters, size = np.array([r["c"] for r in found], dtype=np.int64), F.array(*(F.lit(r["n"]) for r in found)).cast("array<double>")
+    n = max(1, -(-items * 8 * (width + k + 2) // block), min(points.sparkSession.sparkContext.defaultParallelism, items // 1024))
+    tasks = min(n * (n + 1), 1024)
+    dealt = once.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    left = dealt.withColumnRenamed("b", "i").withColumn("j", F.explode(F.sequence(F.col("i"), F.lit(n - 1)))).repartition(tasks, "i", "j")
+    other = dealt.select(*(F.col(c).alias(f"other_{c}") for c in ("c", "v", "n", "id")), F.col("b").alias("other_j"))
+    right = other.withColumn("other_i", F.explode(F.sequence(F.lit(0), F.col("other_j")))).repartition(tasks, "other_i", "other_j")
+
+    def held(t: pa.Table) -> tuple[np.ndarray, ...]:
+        """Vectors, places of their clusters, numbers and ids, in one order by cluster."""
+        t = t.rename_columns([c.removeprefix("other_") for c in t.column_names]).sort_by([("c", "ascending"), ("id", "ascending")])
+        return matrix(t.column("v"), width).astype(float), np.searchsorted(clusters, t.column("c").to_numpy()), t.column("n").to_numpy(), t.column("id").to_numpy()
+
+    def sums(group: tuple[pa.Scalar, ...], own: pa.Table, other: pa.Table) -> pa.Table:
+        if not len(own) or not len(other):  # an empty side comes without columns
+            return pa.table({"b": pa.array([], pa.int32()), "ids": pa.array([], pa.binary()), "totals": pa.array([], pa.binary())})
+        (x, a, na, ids), (y, b, nb, others) = held(own), held(other)
+        to, back = np.zeros((len(x), k)), np.zeros((len(y), k))
+        for part, beside in product(tiles(len(x), 256), tiles(len(y), 512)):  # small enough for a core's cache
+            d = far(x[part], y[beside])
+            back[beside] += by_place((d * na[part, None]).T, a[part], k)
+            d *= nb[beside]
+            to[part] += by_place(d, b[beside], k)
+        i, j = (g.as_py() for g in group)
+        sides = [(i, ids, to), (j, others, back)][: 1 + (i != j)]
+        return pa.table({"b": pa.array([x for x, *_ in sides], pa.int32()), "ids": [x.tobytes() for _, x, _ in sides], "totals": [x.tobytes() for *_, x in sides]})
+
+    def added(parts: pa.Table) -> pa.Table:
+        ids = np.frombuffer(parts.column("ids")[0].as_buffer(), dtype=np.int64)
+        total = np.zeros(len(ids) * k)
+        for part in parts.column("totals"):
+            total += np.frombuffer(part.as_buffer())
+        return pa.table({"id": ids, "totals": pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * k), pa.array(total))})
+
+    met = left.groupBy("i", "j").cogroup(right.groupBy("other_i", "other_j")).applyInArrow(sums, "b int, ids binary, totals binary")
+    total = met.groupBy("b").applyInArrow(added, "id long, totals array<double>").join(once, "id")
+    places = F.array(*(F.lit(int(c)) for c in clusters)).cast("array<long>")
+    mean = F.transform("totals", lambda t, i: F.struct((F.get(places, i) == F.col("c")).alias("own"), t.alias("t"), F.get(size, i).alias("n")))
+    a = F.get(F.transform(F.filter(mean, lambda m: m["own"]), lambda m: F.try_divide(m["t"], m["n"] - 1)), F.lit(0))
+    b = F.array_min(F.transform(F.filter(mean, lambda m: ~m["own"]), lambda m: m["t"] / m["n"]))
+    value = total.select("c", "v", F.try_divide(b - a, F.greatest(a, b)).alias("s"))
+    return rows.join(value, ["c", "v"], "left").select(F.col("k").alias(key), F.col("c").alias(cluster), F.coalesce("s", F.lit(0.0)).alias("silhouette"))
 
 
 def voronoi(spark: SparkSession, centres: list[list[float]], low: float, high: float, steps: int) -> DataFrame:
