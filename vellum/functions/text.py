@@ -16,12 +16,13 @@ from pyspark.sql.types import StringType
 #: All white space of Unicode, which trim() and \s of Java don't cover.
 WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 WS_IN = WS[1:-1]  # for use inside a class
-BREAK = r"(?:\r\n|[\n-\r\x1c-\x1e\x85\u2028\u2029])"
+WS_CHARS = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+BREAK = r"(?:[\n\x0b\f\r\x1c\x1d\x1e\x85\u2028\u2029](?:(?<=\r)\n)?+)"  # a class first: no branch is tried at each character
 WORD = r"[\p{L}\p{N}_]"
 
 
 def strip_ws(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{WS}++|(?<!{WS}){WS}++\z", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def is_blank(c: Column) -> Column:
@@ -30,7 +31,7 @@ def is_blank(c: Column) -> Column:
 
 
 def rstrip_ws(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?<!{WS}){WS}++\z", "")
+    return F.rtrim(c, F.lit(WS_CHARS))
 
 
 def collapse_ws(c: Column) -> Column:
