@@ -38,8 +38,8 @@ def test_silhouette_blocks(spark):
     assert K.silhouette(df.limit(0), "label").count() == 0
 
 
-def test_each_two_blocks_meet_once(spark):
-    """Rows of the plan's exchange: none is dealt out more often than there are blocks and one."""
+def test_blocks_meet_in_arrow(spark):
+    """Two blocks meet in a cogroup; no group in Pandas is left."""
     df = spark.createDataFrame([(i, i % 2, [float(i), 1.0]) for i in range(200)], "vec_id long, label long, embedding array<double>")
     plan = K.silhouette(df, "label", block=4800)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "FlatMapGroupsInPandas" not in plan
