@@ -1,9 +1,13 @@
 """Queries over documents as Markdown against their SQL, for texts of unusual breaks, spaces and marks, and rows without values."""
 
+import random
+import re
+
 import duckdb
 import pytest
 
 from vellum import catalog
+from vellum.operators import chunking as K
 
 TEXTS = [
     "uno\ndos", "", None, "\n", "uno\n", "\n\nuno\n\n\n", "uno\r\ndos\r\n", "uno\rdos", "uno\x0bdos\x0ctres\x1cfin", "uno\x85dos", "uno dos ", "  uno \t\n\t\n",
@@ -32,3 +36,49 @@ def compared(spark, folder, name):
 
 def test_split_header(spark, odd):
     compared(spark, odd, "split_header")
+
+
+def test_blocks(spark, odd):
+    compared(spark, odd, "blocks")
+
+
+def blocks_by_hand(markdown):
+    """kind, text, page, path and level of the blocks of Markdown without front matter; one line after another."""
+    out, page, titles, before = [], None, {}, None
+    for line in markdown.splitlines():
+        mark = re.fullmatch(r"<!-- pagina: (\d+) -->", line.strip())
+        head = re.fullmatch(r"(#{1,6})\s+(.+?)\s*#*\s*", line)
+        title = head[2] if head else ""
+        kind = "mark" if mark else "blank" if not line.strip() else "titulo" if 0 < len(title) <= K.MAX_TITLE else "tabla" if line.lstrip().startswith("|") else "parrafo"
+        if kind == "mark":
+            page = int(mark[1])
+        elif kind == "titulo":
+            titles = {k: v for k, v in titles.items() if k < len(head[1])} | {len(head[1]): title.strip("*_ ")}
+            out.append([kind, [title.strip("*_ ")], page, list(titles.values()), len(head[1])])
+        elif kind in ("tabla", "parrafo"):
+            if kind != before:
+                out.append([kind, [], page, list(titles.values()), 0])
+            out[-1][1].append(line.rstrip())
+        before = kind
+    return [(kind, "\n".join(lines).strip(), *rest) for kind, lines, *rest in out]
+
+
+BITS = (
+    "\n", "\n\n", "# Uno", "## Dos ##", "### **Tres** ", "###### seis", "#", "####### no", "|", "| a | b |", "  |c|", "<!-- pagina: 3 -->", " <!-- pagina: 12 --> ", "<!-- pagina: x -->", "\r\n", "\x0b", "\x85", " ", "\xa0", "\t", "texto", "más. ",
+    "　", "# " + "y" * 160, "---", "\x1f", "_",
+)
+
+
+def test_blocks_of_markdown(spark):
+    """Marks, headings, tables and breaks in any order, as the operator reads them; consecutive marks, too."""
+    draw = random.Random(4)
+    texts = ["", "\n", "<!-- pagina: 1 -->\n<!-- pagina: 2 -->\nx", "x" + "\ny" * 100_000] + ["".join(draw.choice(BITS) + draw.choice(("", "\n", "\n")) for _ in range(draw.randint(0, 40))) for _ in range(400)]
+    texts = ["x" + t if t.startswith("---\n") else t for t in texts]  # no front matter
+    found = {}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, markdown string")
+    for r in K.blocks(docs).orderBy("doc_id", "block_no").collect():
+        own = found.setdefault(r["doc_id"], [])
+        assert r["block_no"] == len(own)
+        own.append((r["kind"], r["text"], r["page"], r["path"], r["level"]))
+    for n, text in enumerate(texts):
+        assert found.get(n, []) == blocks_by_hand(text), repr(text[:500])

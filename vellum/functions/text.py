@@ -18,6 +18,7 @@ WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]
 WS_IN = WS[1:-1]  # for use inside a class
 WS_CHARS = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 BREAK = r"(?:[\n\x0b\f\r\x1c\x1d\x1e\x85\u2028\u2029](?:(?<=\r)\n)?+)"  # a class first: no branch is tried at each character
+OTHER_BREAK = r"[\x0b\f\r\x1c\x1d\x1e\x85\u2028\u2029]"
 WORD = r"[\p{L}\p{N}_]"
 
 
@@ -40,7 +41,8 @@ def collapse_ws(c: Column) -> Column:
 
 def split_lines(c: Column) -> Column:
     """The lines of a text; a break at the end opens no further line and an empty text has none."""
-    lines = F.split(F.regexp_replace(c, rf"{BREAK}\z", ""), BREAK, -1)
+    bare = F.when(c.endswith("\n"), F.substring(c, F.lit(1), F.length(c) - 1)).otherwise(c)
+    lines = F.when(c.rlike(OTHER_BREAK), F.split(F.regexp_replace(c, rf"{BREAK}\z", ""), BREAK, -1)).otherwise(F.split(bare, "\n", -1))
     return F.when(c == "", F.array().cast("array<string>")).otherwise(lines)
 
 
