@@ -5,9 +5,12 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from vellum import catalog
 from vellum.operators import chunking as K
+from vellum.operators import units as U
+from vellum.plans import documents as D
 
 TEXTS = [
     "uno\ndos", "", None, "\n", "uno\n", "\n\nuno\n\n\n", "uno\r\ndos\r\n", "uno\rdos", "uno\x0bdos\x0ctres\x1cfin", "uno\x85dos", "uno dos ", "  uno \t\n\t\n",
@@ -82,3 +85,27 @@ def test_blocks_of_markdown(spark):
         own.append((r["kind"], r["text"], r["page"], r["path"], r["level"]))
     for n, text in enumerate(texts):
         assert found.get(n, []) == blocks_by_hand(text), repr(text[:500])
+
+
+def test_chunks_are_made_once(spark, odd, monkeypatch):
+    """The summary folds documents once, in its one plan, and says of odd documents what their chunks say."""
+    plan = D.chunk_summary(spark, odd)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(node in line for line in plan.splitlines() for node in ("MapInArrow", "FlatMapGroupsInArrow")) == 1 and plan.count("Window") == 1
+    monkeypatch.setattr(K, "FOLD_ROWS", 2)
+    chunks = D.chunk_cols(spark, odd).collect()
+    kept = {}
+    for r in sorted(chunks, key=lambda r: (r["doc_id"], r["chunk_no"])):
+        kept.setdefault(" ".join(r["text"].split()).lower(), r)
+    size = lambda c: sum(max(1, len(r[c]) // 4) for r in kept.values())
+    own = len(TEXTS) * 2, len(TEXTS) * 2 - len({r["doc_id"] for r in kept.values()}), len(kept), len(chunks) - len(kept), size("text"), size("embed_text"), sum(bool(r["dubious_units"]) for r in kept.values())
+    assert tuple(D.chunk_summary(spark, odd).first()) == own
+    ids = {r["doc_id"] for r in chunks}
+    assert ids and {i for i in ids if i >= 100} == {i + 100 for i in ids if i < 100}, "documents without a source have the same chunks"
+
+
+def test_unknown_units(spark):
+    lines = ["5 mg/kg", "5 zz/kg y 3 mg/ml", "Dosis 4 rng/kg IV", "7 QQ/ml o 7 MG/ML", "12 1a/h", "", None, "sin unidad", "3 μg/ml", "9 mgx/kgs"]
+    df = spark.createDataFrame([(x,) for x in lines], "line string").select("line", U.unknown_units(F.col("line")).alias("told"), U.has_unknown_units(F.col("line")).alias("has"))
+    found = {r["line"]: r for r in df.collect()}
+    assert all(bool(r["told"]) == bool(r["has"]) for r in found.values())
+    assert found["5 zz/kg y 3 mg/ml"]["told"] == ["5 zz/kg y 3 mg/ml"] and not found["5 mg/kg"]["told"] and found["Dosis 4 rng/kg IV"]["has"]

@@ -121,9 +121,10 @@ def unknown_units(text: Column) -> Column:
     """Contexts of compound units that the catalogue doesn't have: a unit with BEFORE characters before it and AFTER
     characters behind it, which come from the ends and beginnings of the pieces around it. A piece with a unit has four
     characters at least, so a few pieces are enough."""
-    gaps, hits = F.split(text, COMPOUND, -1), F.regexp_extract_all(text, F.lit(COMPOUND), F.lit(0))
-    pieces = F.zip_with(gaps, hits, lambda gap, hit: F.concat(gap, F.coalesce(hit, F.lit(""))))
-    shared = F.struct(gaps.alias("gaps"), hits.alias("hits"), F.transform(pieces, lambda p: F.right(p, F.lit(BEFORE))).alias("tails"), F.transform(pieces, lambda p: F.left(p, F.lit(AFTER))).alias("heads"))
+    found = F.struct(F.split(text, COMPOUND, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(COMPOUND), F.lit(0)).alias("hits"))
+    joined = lambda p: F.struct(p["gaps"].alias("gaps"), p["hits"].alias("hits"), F.zip_with(p["gaps"], p["hits"], lambda gap, hit: F.concat(gap, F.coalesce(hit, F.lit("")))).alias("pieces"))
+    ends = lambda p: F.struct(p["gaps"].alias("gaps"), p["hits"].alias("hits"), F.transform(p["pieces"], lambda x: F.right(x, F.lit(BEFORE))).alias("tails"), F.transform(p["pieces"], lambda x: F.left(x, F.lit(AFTER))).alias("heads"))
+    shared = F.transform(F.transform(F.array(found), joined), ends)  # each step once, as the next ones read it several times
 
     def around(p: Column, hit: Column, i: Column) -> Column:
         near = lambda name, steps: [F.coalesce(F.get(p[name], i + k), F.lit("")) for k in steps]
@@ -131,5 +132,10 @@ def unknown_units(text: Column) -> Column:
         after = F.left(F.concat(*near("heads", range(1, AFTER // 4 + 2))), F.lit(AFTER))
         return F.when(~is_known(unit_of(hit)), T.collapse_ws(F.concat(before, hit, after)))
 
-    told = F.transform(F.array(shared), lambda p: F.array_compact(F.transform(p["hits"], lambda hit, i: around(p, hit, i))))[0]
+    told = F.transform(shared, lambda p: F.array_compact(F.transform(p["hits"], lambda hit, i: around(p, hit, i))))[0]
     return F.when(text.rlike(COMPOUND), told).otherwise(F.array().cast("array<string>"))
+
+
+def has_unknown_units(text: Column) -> Column:
+    """Whether ``unknown_units`` finds any."""
+    return F.exists(F.regexp_extract_all(text, F.lit(COMPOUND), F.lit(2)), lambda unit: ~is_known(unit))
